@@ -1,0 +1,68 @@
+"""The pipeline against its brute-force version, stage by stage."""
+
+import re
+
+import pytest
+import test_decontam
+import test_packing
+import test_secrets
+import test_simhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from corpuswright.llm import common, rules, secrets
+
+
+def slow_keep(rows):
+    """The rules of policy v1 from their definition."""
+    from test_rules import SPACE, slow
+
+    out = []
+    for r in rows:
+        text = r.text or ""
+        n_words, chars, symbols, dup, repeated = slow(text)
+        words = [w for w in re.split("[" + SPACE + "]+", text) if w]
+        lines = [x for x in text.split("\n") if x.strip(SPACE)]
+        bad = n_words < 20 or 100 * repeated > 30 * n_words or 10 * symbols > n_words or 100 * dup > 30 * len(lines)
+        if not (bad or 2 * sum(w.isupper() and len(w) > 1 for w in words) > n_words or chars > 40 * n_words):
+            out.append(r)
+    return out
+
+
+def slow_redact(text):
+    strong = secrets.base_spans(text)
+    spans = sorted(set(strong) | set(test_secrets.slow_linked(text, strong)), key=lambda x: (x[1], secrets.KINDS.index(x[0]), x[2]))
+    return secrets.redact_text(text, spans)
+
+
+def test_run(spark, sf, documents):
+    rows = slow_keep(documents.collect())
+    names = test_simhash.slow_groups(rows)
+    first = {d for d, _, c in names if d == c}
+    rows = [r for r in rows if r.doc_id in first]
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    dirty = {x[0] for x in test_decontam.slow(rows, items) if x[5]}
+    rows = [r for r in rows if r.doc_id not in dirty]
+    texts = [(r.doc_id, slow_redact(r.text)) for r in rows]
+    assert any(a[1] != b.text for a, b in zip(texts, rows)) and dirty
+    test_packing.check(corpus_pipeline.run(spark, sf).collect(), texts)
+
+
+def test_stages_keep_the_columns(spark, sf, documents):
+    docs = documents
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, _ = common.materialise(stage(spark, docs, sf), name)
+        assert docs.schema == documents.schema, name
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_and_empty_tables(spark, sf, odd, empty, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    assert stage(spark, odd, sf).count() >= 0
+    assert stage(spark, empty, sf).collect() == []
+    long = odd.filter("doc_id = 4").select(*[F.col(c) for c in odd.columns])
+    assert stage(spark, long, sf).count() >= 0
+
+
+def test_rules_keep_nulls_apart(odd):
+    assert rules.keep(odd).filter("text IS NULL").count() == 0  # a null text has too few words
