@@ -91,7 +91,7 @@ class ByteCNN:
         pooled = np.stack([self.pooled(np.frombuffer((t or "").encode(), np.uint8)) for t in texts]) if texts else np.zeros((0, self.filters), np.float32)
         return self.head(pooled)[2]
 
-    def fit(self, texts: list[str | None], labels: list[int], epochs: int = 10, batch: int = 32, rate: float = 4e-3) -> ByteCNN:
+    def fit(self, texts: list[str | None], labels: list[int], epochs: int = 10, least_steps: int = 500, batch: int = 32, rate: float = 4e-3) -> ByteCNN:
         """Adam on cross-entropy with both classes weighted equally. The gradient of a
         maximum flows to the winning window alone, so a step keeps only these windows."""
         rng = np.random.default_rng(self.seed)
@@ -101,7 +101,9 @@ class ByteCNN:
         weight = np.where(y == 1, 0.5 / share[1], 0.5 / share[0])
         m = {k: np.zeros_like(v) for k, v in self.weights.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        step, total = 0, epochs * -(-len(raws) // batch)
+        each = -(-len(raws) // batch)
+        epochs = max(epochs, -(-least_steps // each))  # small samples are seen more often
+        step, total = 0, epochs * each
         for _ in range(epochs):
             order = rng.permutation(len(raws))
             for lo in range(0, len(order), batch):

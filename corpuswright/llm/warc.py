@@ -115,11 +115,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, id_col: st
     """Writes a record for each row of pages under `folder` and returns the stored captures.
 
     A null html is an empty payload, a null url has no target and the empty key. Rows that
-    repeat the smallest page_id of their payload are all responses. An empty table writes no
-    archive.
+    repeat the smallest page_id of their payload are all responses; rows without a page_id
+    revisit it. An empty table writes no archive.
     """
     narrow = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    decided = decide(narrow, least).select("page_id", "url", "html", "digest", F.when(F.col("original") != F.col("page_id"), F.col("original")).alias("refers_to"), url_key(F.col("url")).alias("key"))
+    decided = decide(narrow, least).select("page_id", "url", "html", "digest", F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original")).alias("refers_to"), url_key(F.col("url")).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, at, n = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", None, 0, 0

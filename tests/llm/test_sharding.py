@@ -48,7 +48,7 @@ def test_any_number_of_shards_and_hot_groups(spark, shards):
 
 def test_leaves_follow_metadata(spark):
     """With one wide dimension the leaves are ranges of it, and equal texts stay together."""
-    docs = spark.range(4000).selectExpr("id doc_id", "concat('t', id div 4) text", "cast(id div 1000 as double) v")
+    docs = spark.range(4000).selectExpr("id doc_id", "concat('t', lpad(id div 4, 4, '0')) text", "cast(id div 1000 as double) v")
     got = sharding.kd_shards(docs, 4, dims=("v",)).collect()
     assert all(r.shard == r.doc_id // 1000 for r in got)
     by_text = defaultdict(set)
