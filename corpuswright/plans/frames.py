@@ -51,7 +51,7 @@ def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Intervals in epoch seconds made of events.
-INTERVALS = "intervals AS (SELECT user_id, event_id, CAST(epoch(ts) AS BIGINT) AS s, CAST(epoch(ts) AS BIGINT) + CAST(floor(value * 60) AS BIGINT) AS e FROM events)"
+INTERVALS = "intervals AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(value * 60) AS BIGINT) AS e FROM events)"
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
