@@ -25,10 +25,11 @@ hit AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM twice, range(0, 8) AS r
 m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
-  len(list_filter(words, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_upper_words FROM w LEFT JOIN hit USING (doc_id)),
+  len(list_filter(words, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_upper_words,
+  len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutter FROM w LEFT JOIN hit USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR 2 * n_upper_words > n_words OR word_chars > 40 * n_words) AS kept FROM b"""
+  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 5 * n_stutter > n_words OR 2 * n_upper_words > n_words OR word_chars > 40 * n_words) AS kept FROM b"""
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +37,20 @@ RULES = (
     Rule("few_words", "n_words < 20"),
     Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     Rule("symbol_share", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule("upper_case", "2 * n_upper_words > n_words"),
     Rule("long_words", "word_chars > 40 * n_words"),
+    Rule("stutter", "5 * n_stutter > n_words"),
 )
 BASE_RULES = ("few_words", "repeated_windows")
 
 #: Versions of the policy: the rules each enforces.
 POLICIES = {
     "base": BASE_RULES,
-    "v1": ("few_words", "repeated_windows", "symbol_share", "duplicate_lines", "upper_case", "long_words"),
+    "v1": ("few_words", "repeated_windows", "symbol_share", "duplicate_lines", "upper_case", "long_words", "stutter"),
 }
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_stutter")
 SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 
 
@@ -91,7 +93,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     lines = [x for x in text.split("\n") if _WORD.search(x)]
     return (
         len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines), len(lines) - len(set(lines)),
-        repeated_words(words), sum(len(w) > 1 for w in words if w.isupper()),
+        repeated_words(words), sum(len(w) > 1 for w in words if w.isupper()), sum(map(eq, words, words[1:])),
     )
 
 

@@ -23,7 +23,7 @@ def slow_keep(rows):
         n_words, chars, symbols, dup, repeated = slow(text)
         words = [w for w in re.split("[" + SPACE + "]+", text) if w]
         lines = [x for x in text.split("\n") if x.strip(SPACE)]
-        bad = n_words < 20 or 100 * repeated > 30 * n_words or 10 * symbols > n_words or 100 * dup > 30 * len(lines)
+        bad = n_words < 20 or 100 * repeated > 30 * n_words or 10 * symbols > n_words or 2 * dup > len(lines) or 5 * sum(a == b for a, b in zip(words, words[1:])) > n_words
         if not (bad or 2 * sum(w.isupper() and len(w) > 1 for w in words) > n_words or chars > 40 * n_words):
             out.append(r)
     return out
