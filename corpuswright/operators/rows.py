@@ -135,7 +135,7 @@ def dual_order(rows: DataFrame, verdict: Column, swapped: Column) -> Column:
 
 def latex_row(values: Sequence[Column]) -> Column:
     """Cells with two decimals joined as a table row; null is NaN."""
-    return F.array_join(F.array(*[F.coalesce(F.format_string("%.2f", v.cast("double")), F.lit("NaN")) for v in values]), " & ")
+    return F.array_join(F.array(*[F.when(v.isNotNull(), F.format_string("%.2f", v.cast("double"))).otherwise("NaN") for v in values]), " & ")
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
