@@ -142,3 +142,93 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     p1, p2 = F.radians(lat1), F.radians(lat2)
     a = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * 6371.0088 * F.asin(F.sqrt(a))
+
+
+def answered(qa: Column, include_failed: bool = False) -> Column:
+    """Entries of a map name -> (status, question, answer) with both texts; entries that
+    failed are left out unless wanted, a blank status counts as success."""
+    done = lambda v: F.coalesce(F.trim(v["status"]), F.lit("")).isin("", "success")
+    full = lambda v: (F.coalesce(F.trim(v["question"]), F.lit("")) != "") & (F.coalesce(F.trim(v["answer"]), F.lit("")) != "")
+    return F.filter(F.map_entries(qa), lambda e: full(e["value"]) & (F.lit(include_failed) | done(e["value"])))
+
+
+def prune_map(lesions: Column) -> Column:
+    """Lesions with their box and score alone; entries without a box go."""
+    return F.map_filter(F.transform_values(lesions, lambda k, v: F.struct(v["bbox"].alias("bbox"), v["score"].alias("score"))), lambda k, v: v["bbox"].isNotNull())
+
+
+def caption_sections(text: Column, heading: str = r"([A-Za-z ]+): (\[[^\]]*\])") -> Column:
+    """Sections `Name: [..]` of a caption as a map; of equal names the last wins."""
+    found = F.regexp_extract_all(text, F.lit(heading), F.lit(0))
+    entries = F.transform(found, lambda m: F.struct(F.trim(F.regexp_extract(m, heading, 1)).alias("k"), F.regexp_extract(m, heading, 2).alias("v")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
+    return F.map_from_entries(last)
+
+
+def case_sections(text: Column, start: str = r"(?m)^# CASE", stop: str = r"(?m)^# Reference") -> Column:
+    """Blocks that begin with a case heading, cut at the references."""
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s){start}.*?(?=\n# CASE|\z)"), F.lit(0))
+    return F.transform(blocks, lambda b: F.regexp_replace(F.split(b, stop, 2)[0], r"\s+$", ""))
+
+
+def reports_in_order(report: DataFrame, name: str, fixed: Sequence[str], last: str = "Overall") -> DataFrame:
+    """Rows in the fixed order, then unknown names sorted, then the total. An order for
+    display, so for small reports."""
+    place = F.array_position(F.array(*map(F.lit, fixed)), F.col(name))
+    key = F.when(F.col(name) == last, F.lit(2**30)).when(place > 0, place).otherwise(F.lit(len(fixed) + 1))
+    return report.orderBy(key, name)
+
+
+def canonical(label: Column, same: Mapping[str, str]) -> Column:
+    """Equivalent labels under one name, by pattern; the first pattern that matches counts."""
+    out = label
+    for pattern, name in reversed(list(same.items())):
+        out = F.when(label.rlike(pattern), F.lit(name)).otherwise(out)
+    return out
+
+
+def pairwise_attach(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The values of two systems beside each other, by key."""
+    return left.select(*keys, F.col(value).alias("a")).join(right.select(*keys, F.col(value).alias("b")), list(keys))
+
+
+def budget_turns(lengths: Column, cutoff: int, newest_first: bool = False) -> Column:
+    """For turns as (source, target) lengths: how much of each is kept while the budget lasts;
+    turns after its end are left out. With `newest_first` the latest turns are kept."""
+    order = F.reverse(lengths) if newest_first else lengths
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<source:int,target:int>>").alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        room = F.lit(cutoff) - s["used"]
+        a, b = t["source"].cast("int"), t["target"].cast("int")
+        share = F.when(b * 2 < room, room).when(a * 2 < room, room - a).otherwise((room * (b / F.greatest(a + b, F.lit(1)))).cast("int"))
+        kept_b = F.least(share, b)
+        kept_a = F.least(F.greatest(room - kept_b, F.lit(0)), a)
+        new = F.struct(kept_a.cast("int").alias("source"), kept_b.cast("int").alias("target"))
+        return F.when(room <= 0, s).otherwise(F.struct((s["used"] + kept_a + kept_b).cast("int").alias("used"), F.array_append(s["out"], new).alias("out")))
+
+    return F.aggregate(order, start, step, lambda s: F.reverse(s["out"]) if newest_first else s["out"])
+
+
+def without_history_thoughts(turns: Column, empty: str = "<think>\n\n</think>\n\n") -> Column:
+    """Model turns of a reasoning template: thoughts go from all but the last turn, and the
+    last gets an empty one where it has none."""
+    bare = lambda t: F.regexp_replace(t, r"(?s)<think>.*?</think>\s*", "")
+    n = F.size(turns)
+    ours = lambda t: t["role"] == "assistant"
+
+    def one(t: Column, i: Column) -> Column:
+        last = F.when(F.contains(t["content"], F.lit("<think>")), t["content"]).otherwise(F.concat(F.lit(empty), t["content"]))
+        return F.struct(t["role"].alias("role"), F.when(ours(t) & (i == n - 1), last).when(ours(t), bare(t["content"])).otherwise(t["content"]).alias("content"))
+
+    return F.transform(turns, one)
+
+
+def reward_accuracy(chosen: Column, rejected: Column) -> Column:
+    """Aggregate: share of pairs whose chosen answer has the larger reward."""
+    return F.avg(F.when(chosen > rejected, 1.0).otherwise(0.0))
+
+
+def perplexity(losses: Column) -> Column:
+    """Exponential of the mean of an array of losses."""
+    return F.exp(F.aggregate(losses, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(losses), F.lit(0)))

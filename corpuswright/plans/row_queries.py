@@ -207,3 +207,45 @@ def found_and_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def midpoint_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without a newline are cut in the middle."""
     return table(spark, sf_dir, "pages").select("page_id", R.split_at_middle(F.col("url")).alias("s")).select("page_id", F.col("s")[0].alias("a"), F.col("s")[1].alias("b"))
+
+
+@register("""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS t, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN r[-1] = 'assistant' THEN '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) || t[-1] ELSE t[-1] END AS last FROM c""")
+def reasoning_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(C.ordered_turns().alias("t"))
+    return c.select("conv_id", F.element_at(R.without_history_thoughts(F.col("t")), -1)["content"].alias("last"))
+
+
+@register("""WITH s AS (SELECT DISTINCT source, CASE WHEN regexp_matches(source, '^src1[0-9]$') THEN 'teens' WHEN regexp_matches(source, '^src[0-4]$') THEN 'low' ELSE source END AS name FROM documents) SELECT name, count(*) AS n FROM s GROUP BY name""")
+def equivalence_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "documents").select("source").distinct()
+    return s.groupBy(R.canonical(F.col("source"), {"^src1[0-9]$": "teens", "^src[0-4]$": "low"}).alias("name")).agg(F.count("*").alias("n"))
+
+
+@register("""WITH x AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer), y AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier), j AS (SELECT x.v AS a, y.v AS b FROM x JOIN y USING (k)) SELECT avg(CASE WHEN a > b THEN 1.0::DOUBLE ELSE 0 END) AS accuracy, count(*) AS n FROM j""")
+def reward_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    y = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    return R.pairwise_attach(x, y, ["k"], "v").agg(R.reward_accuracy(F.col("a"), F.col("b")).alias("accuracy"), F.count("*").alias("n"))
+
+
+@register("""SELECT l_orderkey AS id, round(exp(avg(l_discount + l_tax)), 6) AS perplexity FROM lineitem GROUP BY l_orderkey""")
+def perplexity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.col("l_discount") + F.col("l_tax")).alias("x"))
+    return g.select("id", F.round(R.perplexity(F.col("x")), 6).alias("perplexity"))
+
+
+@register("""SELECT o_orderkey, 'success' AS status, o_orderpriority AS answer FROM orders WHERE o_orderstatus <> 'F'""")
+def status_gated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "success").otherwise("")
+    one = F.struct(status.alias("status"), F.lit("which?").alias("question"), F.col("o_orderpriority").alias("answer"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(R.answered(F.create_map(F.lit("stage"), one))).alias("e"))
+    return o.select("o_orderkey", F.lit("success").alias("status"), F.col("e.value.answer").alias("answer"))
+
+
+@register("""WITH t AS (SELECT page_id, 'Teeth: [' || page_id || '] Bones: [x' || page_id % 3 || '] Teeth: [z' || page_id % 5 || ']' AS c FROM pages) SELECT page_id, '[z' || page_id % 5 || ']' AS teeth, '[x' || page_id % 3 || ']' AS bones FROM t""")
+def caption_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caption's sections as fields; of equal names the last counts."""
+    p = F.col("page_id")
+    text = F.concat(F.lit("Teeth: ["), p, F.lit("] Bones: [x"), p % 3, F.lit("] Teeth: [z"), p % 5, F.lit("]"))
+    s = table(spark, sf_dir, "pages").select("page_id", R.caption_sections(text).alias("s"))
+    return s.select("page_id", F.col("s")["Teeth"].alias("teeth"), F.col("s")["Bones"].alias("bones"))

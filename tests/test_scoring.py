@@ -99,3 +99,15 @@ def test_rows(spark):
     assert one(spark, R.split_at_middle(lit("ab\ncd\nef"))) == ["ab", "cd\nef"] and one(spark, R.split_at_middle(lit("abcd"))) == ["ab", "cd"]
     assert one(spark, R.rescale_boxes(lit("a<box>[1,2,3,4]</box>b"), lit(2.0), lit(0.5))) == "a<box>[2,1,6,2]</box>b"
     assert one(spark, R.segments(lit("a\n---\n\n----\nb"))) == ["a", "b"]
+
+
+def test_more_rows(spark):
+    got = one(spark, R.budget_turns(F.array(F.struct(lit(4).alias("source"), lit(2).alias("target")), F.struct(lit(4).alias("source"), lit(4).alias("target"))), 10))
+    assert [(t["source"], t["target"]) for t in got] == [(4, 2), (2, 2)]
+    assert one(spark, R.case_sections(lit("x\n# CASE 1\na\n# Reference\nz\n# CASE 2\nb"))) == ["# CASE 1\na", "# CASE 2\nb"]
+    turns = F.array(*[F.struct(lit(r).alias("role"), lit(c).alias("content")) for r, c in (("user", "q"), ("assistant", "<think>x</think>a"), ("user", "q"), ("assistant", "<think>y</think>b"))])
+    assert [t["content"] for t in one(spark, R.without_history_thoughts(turns))] == ["q", "a", "q", "<think>y</think>b"]
+    rows = spark.createDataFrame([("Overall",), ("z",), ("b",), ("a",)], "name string")
+    assert [r.name for r in R.reports_in_order(rows, "name", ["b"]).collect()] == ["b", "a", "z", "Overall"]
+    lesions = F.create_map(lit("x"), F.struct(arr(1.0).alias("bbox"), lit(0.5).alias("score"), lit("m").alias("mask")), lit("y"), F.struct(lit(None).cast("array<double>").alias("bbox"), lit(0.5).alias("score"), lit("m").alias("mask")))
+    assert list(one(spark, R.prune_map(lesions))) == ["x"]
