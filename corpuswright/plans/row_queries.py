@@ -249,3 +249,92 @@ def caption_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("Teeth: ["), p, F.lit("] Bones: [x"), p % 3, F.lit("] Teeth: [z"), p % 5, F.lit("]"))
     s = table(spark, sf_dir, "pages").select("page_id", R.caption_sections(text).alias("s"))
     return s.select("page_id", F.col("s")["Teeth"].alias("teeth"), F.col("s")["Bones"].alias("bones"))
+
+
+@register(f"""WITH {PRED}, c AS (SELECT lang, CASE WHEN len(regexp_extract_all(answer || prediction, '[A-D]')) > 1 AND answer <> prediction THEN 0 ELSE 1 END AS hit FROM pred) SELECT lang, avg(CAST(hit AS DOUBLE)) AS acc, count(*) AS total FROM c GROUP BY lang""")
+def group_choice_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that name several different options are wrong."""
+    several = F.size(F.array_distinct(F.regexp_extract_all(F.concat("answer", "prediction"), F.lit("[A-D]"), F.lit(0)))) > 1
+    return pred(spark, sf_dir).groupBy("lang").agg(F.avg(F.when(several, 0.0).otherwise(1.0)).alias("acc"), F.count("*").alias("total"))
+
+
+@register(f"""WITH {PRED}, s AS (SELECT source, CASE WHEN source < 'src14' THEN avg(hit) ELSE CAST(max(hit) AS DOUBLE) END AS s FROM pred GROUP BY source) SELECT CASE WHEN source < 'src14' THEN 'mean' ELSE 'max' END AS kind, round(avg(s), 9) AS score, count(*) AS sources FROM s GROUP BY ALL""")
+def mixed_metric_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources scored by their own rule, then averaged by rule."""
+    s = pred(spark, sf_dir).groupBy("source").agg(F.when(F.col("source") < "src14", F.avg("hit")).otherwise(F.max("hit").cast("double")).alias("s"))
+    return s.groupBy(F.when(F.col("source") < "src14", "mean").otherwise("max").alias("kind")).agg(F.round(F.avg("s"), 9).alias("score"), F.count("*").alias("sources"))
+
+
+@register(f"""WITH {PRED} SELECT source, array_to_string(list(CAST(hit AS VARCHAR) ORDER BY doc_id), '') AS marks, avg(hit) AS acc FROM pred GROUP BY source UNION ALL SELECT 'Average', '', avg(hit) FROM pred""")
+def subject_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right and wrong in order for each subject, and the micro average."""
+    rows = pred(spark, sf_dir)
+    marks = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "hit"))), lambda x: x["hit"].cast("string")), "")
+    each = rows.groupBy("source").agg(marks.alias("marks"), F.avg("hit").alias("acc"))
+    return each.unionByName(rows.agg(F.avg("hit").alias("acc")).select(F.lit("Average").alias("source"), F.lit("").alias("marks"), "acc"))
+
+
+@register("SELECT o_orderstatus AS status, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM orders), 4) AS percent FROM orders GROUP BY ALL")
+def pipeline_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    counts = o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # over the few statuses
+    return counts.select("status", "n", F.round(100.0 * F.col("n") / total, 4).alias("percent"))
+
+
+@register(f"""WITH {BOXES}, k AS (SELECT image_id, label, CASE WHEN x2 <= x1 THEN -1 WHEN 40 BETWEEN x1 AND x2 AND 60 BETWEEN y1 AND y2 THEN 1 ELSE 0 END AS r FROM boxes) SELECT label, CAST(sum(CASE WHEN r = 1 THEN 1 ELSE 0 END) AS BIGINT) AS inside, CAST(sum(CASE WHEN r = 0 THEN 1 ELSE 0 END) AS BIGINT) AS outside, CAST(sum(CASE WHEN r < 0 THEN 1 ELSE 0 END) AS BIGINT) AS malformed FROM k GROUP BY label""")
+def click_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks against boxes: inside, outside, malformed."""
+    from corpuswright.functions import geometry as G
+
+    r = F.when(F.col("x2") <= F.col("x1"), -1).when(G.contains_point(G.box(), F.lit(40), F.lit(60)), 1).otherwise(0)
+    n = lambda v: F.count_if(F.col("r") == v)
+    return boxes(spark, sf_dir).withColumn("r", r).groupBy("label").agg(n(1).alias("inside"), n(0).alias("outside"), n(-1).alias("malformed"))
+
+
+@register(f"""WITH {BOXES}, c AS (SELECT image_id, count(*) AS got, count(DISTINCT label) AS want, avg(CASE WHEN score > 0.5 THEN 1.0::DOUBLE ELSE 0 END) AS loc FROM boxes GROUP BY image_id) SELECT image_id, round(sqrt(loc * greatest(0, 1 - abs(got - want) / CAST(want AS DOUBLE))), 9) AS score FROM c""")
+def cluster_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root of localisation accuracy times the count's closeness."""
+    c = boxes(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("got"), F.countDistinct("label").alias("want"), P.share(F.col("score") > 0.5).alias("loc"))
+    penalty = F.greatest(F.lit(0.0), 1 - F.abs(F.col("got") - F.col("want")) / F.col("want"))
+    return c.select("image_id", F.round(F.sqrt(F.col("loc") * penalty), 9).alias("score"))
+
+
+@register("SELECT c_custkey, '[\"' || c_mktsegment || '\",\"' || c_name || '\"]' AS call FROM customer")
+def schema_call_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as JSON text, as in a rendered call."""
+    return table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.array("c_mktsegment", "c_name")).alias("call"))
+
+
+@register("SELECT event_id, strftime(ts, '%y%m%d%H%M%S') AS stamp, strftime(ts, '%y%m%d') AS day FROM events")
+def run_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyMMddHHmmss").alias("stamp"), F.date_format("ts", "yyMMdd").alias("day"))
+
+
+@register("WITH p AS (SELECT user_id, count(*) AS done, (epoch(max(ts)) - epoch(min(ts))) / count(*) AS per FROM events GROUP BY user_id) SELECT user_id, done, round(per * (500 - done), 3) AS remaining FROM p")
+def remaining_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time left at the average pace so far, of 500 steps."""
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    p = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("done"), ((F.max(t) - F.min(t)) / F.count("*")).alias("per"))
+    return p.select("user_id", "done", F.round(F.col("per") * (500 - F.col("done")), 3).alias("remaining"))
+
+
+@register("SELECT doc_id, source || '/' || lang AS tag, contains(source, '1') OR contains(source, '2') AS listed, TRY_CAST(substr(source, 4) AS INTEGER) IS NOT NULL AS numbered FROM documents")
+def source_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat_ws("/", "source", "lang").alias("tag"), R.any_keyword(F.col("source"), ["1", "2"]).alias("listed"), F.substring("source", 4, 9).try_cast("int").isNotNull().alias("numbered"))
+
+
+@register("SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS caption, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs FROM pages WHERE contains(html, '<title>')")
+def caption_construction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a caption tag: its body and the number of paragraphs."""
+    p = table(spark, sf_dir, "pages").filter(F.contains("html", F.lit("<title>")))
+    return p.select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("caption"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"))
+
+
+@register("SELECT conv_id, list(turn ORDER BY turn)[1] AS first_turn, CASE WHEN conv_id % 3 = 0 THEN 'media/' || conv_id || '.png' ELSE CAST(conv_id AS VARCHAR) || '.png' END AS image FROM conversations GROUP BY conv_id")
+def media_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media paths get their folder only if the file is listed there (here: a semi join)."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first_turn")).withColumn("image", F.concat(F.col("conv_id"), F.lit(".png")))
+    listed = c.filter("conv_id % 3 = 0").select(F.col("image").alias("there"))
+    return c.join(listed, F.col("image") == F.col("there"), "left").select("conv_id", "first_turn", F.when(F.col("there").isNotNull(), F.concat(F.lit("media/"), "image")).otherwise(F.col("image")).alias("image"))

@@ -43,3 +43,10 @@ def stream_filter_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stateless stream through the exactly-once file sink, then a batch count."""
     s = jobs.hash_split(_stream(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 10)
     return jobs.run_to_parquet(s, scratch(spark, "sink"), scratch(spark, "stream")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@register("SELECT conv_id, turn, row_number() OVER w - 1 AS earlier, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS earlier_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def stream_conversation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State by conversation: what each turn has before it."""
+    s = _stream(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return jobs.run_to_table(jobs.conversation_state(s, "conv_id", "turn", "text"), f"state_{uuid.uuid4().hex}", scratch(spark, "stream"))

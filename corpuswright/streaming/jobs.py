@@ -77,3 +77,25 @@ def upsert_batches(stream: DataFrame, path: str, key: str, checkpoint: str, orde
 def map_batches(stream: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """A vectorised map over Arrow batches; the result's schema is declared."""
     return stream.mapInArrow(fn, schema)
+
+
+def conversation_state(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """Each turn with what came before it in its conversation: the number of earlier turns and
+    their length, kept as state by key across batches. Within a batch turns go by `order`."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
+
+    def step(keys, frames, state: GroupState):
+        seen, chars = state.get if state.exists else (0, 0)
+        for rows in frames:
+            out = []
+            for r in rows.sort_values(order).itertuples():
+                out.append((keys[0], getattr(r, order), seen, chars))
+                seen, chars = seen + 1, chars + len(getattr(r, text) or "")
+            yield pd.DataFrame(out, columns=[key, order, "earlier", "earlier_chars"])
+        state.update((seen, chars))
+
+    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, earlier long, earlier_chars long"
+    return turns.groupBy(key).applyInPandasWithState(step, schema, "seen long, chars long", "append", GroupStateTimeout.NoTimeout)
