@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +17,10 @@ from pyspark.sql import functions as F
 #: Python-side work is cut into slices of about this many text bytes.
 SLICE_BYTES = 4 << 20
 
+#: Bytes of an Arrow batch on its way to Python, where the session still has Spark's default of
+#: 64 MB: each side of each running task holds a batch or two.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder all machines share: spark.checkpoint.dir.
@@ -52,6 +59,23 @@ def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded in bytes unless it has a bound of its own."""
+    conf = df.sparkSession.conf
+    if str(conf.get(BATCH_SETTING)).rstrip("bB") == str(BATCH_DEFAULT):
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
+def release() -> None:
+    """Gives memory that Python and Arrow no longer use back to the system, as Python workers
+    outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each slice holds about SLICE_BYTES of column `text` (a single
     longer value stays whole), so that a task's memory does not follow the batch size."""
@@ -67,6 +91,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
             hi = max(lo + 1, int(ends.searchsorted(base + SLICE_BYTES, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    release()
 
 
 def map_slices(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -77,12 +102,12 @@ def map_slices(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Recor
         for part in slices(batches, at):
             yield fn(part)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two needed columns, so that the scan is pruned and no other name clashes."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, slices
+from .common import id_text, materialise, slices, small_batches
 
 WINDOW = 10
 
@@ -216,7 +216,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, action: str = "drop", window: i
                 new = pa.array([cut(t, h) if h.any() else t for t, h in zip(texts, hits)], part.schema.field(at).type)
                 yield part.set_column(at, part.schema.field(at), new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def cut(text: str, hit: np.ndarray) -> str:

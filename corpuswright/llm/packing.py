@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,94 +40,114 @@ class TokenCache:
     """Token ids of white-space-free words, remembered per process.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of
-    its words one after another. Each word is encoded once per process by the tokenizer's
-    own model; `limit` bounds the memory (the cache starts anew beyond it).
+    its words one after another. A plain word is cut into the parts the tokenizer would
+    cut it into; each distinct part is encoded once per process by the tokenizer's own model.
+    Other words are encoded whole by the tokenizer itself. `limit` bounds the memory: beyond
+    it only what was met most often stays, half as much at most.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)  # for parts that are normalised and split already
+        self.bare = Tokenizer(self.full.model)  # for parts that are normalised and split already
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lens = np.zeros(1 << 16, np.int64)
+        self.known: dict[str, int] = {}
+        self.starts = np.zeros(1 << 16, np.int32)
+        self.lens = np.zeros(1 << 16, np.int32)
+        self.met = np.zeros(1 << 16, np.int32)  # slices that had the word
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        split: list[list[str] | None] = []
-        todo: dict[str, None] = {}
-        odd: list[str] = []
-        for w in words:
-            if "<|" in w or not _PLAIN.fullmatch(w):
-                split.append(None)
-                odd.append(w)
-            else:
-                got = _PIECES.findall(w.lower())
-                split.append(got)
-                for p in got:
-                    if p not in self.parts:
-                        todo[p] = None
-        if todo:
-            for p, e in zip(todo, self.bare.encode_batch_fast(list(todo), add_special_tokens=False)):
-                self.parts[p] = e.ids
-        whole = iter(self.full.encode_batch_fast(odd, add_special_tokens=False) if odd else ())
-        parts = self.parts
-        return [next(whole).ids if s is None else parts[s[0]] if len(s) == 1 else [i for p in s for i in parts[p]] for s in split]
-
-    def index(self, words: list[str]) -> np.ndarray:
-        """Places of the words in `starts` and `lens`, encoding those not seen before."""
-        if len(self.words) > self.limit or len(self.parts) > self.limit:
-            self.clear()
-        get = self.words.get
-        new = [w for w in words if get(w) is None]
-        if new:
-            ids = self._encode(new)
-            n, lens = len(self.words), np.fromiter(map(len, ids), np.int64, len(ids))
-            total, end = int(lens.sum()), n + len(new)
-            while end > len(self.starts):
-                self.starts, self.lens = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lens, 2 * len(self.lens))
-            while self.used + total > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.starts[n:end] = self.used + np.cumsum(lens) - lens
-            self.lens[n:end] = lens
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+    def _forget(self) -> None:
+        n = len(self.known)
+        often = np.argsort(-self.met[:n], kind="stable")[: self.limit // 2]
+        keep = np.sort(often[self.met[often] > 1])
+        lens = self.lens[keep]
+        flat, words = self.flat[ragged(self.starts[keep], lens)], list(self.known)
+        met = self.met[keep] // 2
+        self.clear()
+        self._grow(len(keep), len(flat))
+        self.known = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.starts[: len(keep)], self.lens[: len(keep)], self.met[: len(keep)] = np.cumsum(lens) - lens, lens, met
+        self.flat[: len(flat)], self.used = flat, len(flat)
+
+    def _grow(self, words: int, ids: int) -> None:
+        while words > len(self.starts):
+            self.starts, self.lens, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lens, self.met))
+        while ids > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+
+    def _learn(self, by: object, new: list[str]) -> None:
+        """Adds words or parts that are not known yet."""
+        n, end = len(self.known), len(self.known) + len(new)
+        for lo in range(0, len(new), 20_000):
+            ids = [e.ids for e in by.encode_batch_fast(new[lo : lo + 20_000], add_special_tokens=False)]
+            at, lens = n + lo, np.fromiter(map(len, ids), np.int32, len(ids))
+            total = int(lens.sum())
+            self._grow(at + len(ids), self.used + total)
+            self.starts[at : at + len(ids)] = self.used + np.cumsum(lens) - lens
+            self.lens[at : at + len(ids)] = lens
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
             self.used += total
-            self.words.update(zip(new, range(n, end)))
-        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        self.known.update(zip(new, range(n, end)))
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words on end, and the number of each word's ids."""
+        if len(self.known) > self.limit:
+            self._forget()
+        get, split, odd = self.known.get, {}, []
+        for k, w in enumerate(words):
+            if get(w) is None:
+                if "<|" in w or not _PLAIN.fullmatch(w):
+                    odd.append(w)
+                else:
+                    split[k] = _PIECES.findall(w.lower())
+        if odd:
+            self._learn(self.full, list(dict.fromkeys(odd)))
+        new = {p: None for parts in split.values() for p in parts if get(p) is None}
+        if new:
+            self._learn(self.bare, list(new))
+        known = self.known
+        counts = np.ones(len(words), np.int32)
+        counts[list(split)] = list(map(len, split.values()))
+        at = np.fromiter((i for k, w in enumerate(words) for i in ((known[p] for p in split[k]) if k in split else (known[w],))), np.int32, int(counts.sum()))
+        self.met[np.unique(at)] += 1
+        lens = self.lens[at]
+        return self.flat[ragged(self.starts[at], lens)], np.add.reduceat(lens, np.cumsum(counts) - counts) if len(words) else lens
 
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each closed by end_id, and the end of each text."""
-        raw = texts.buffers()[2]
-        seen = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        n = len(texts)
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int32)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
         # ASCII letters may be lowered first where no combining mark can follow them and no
-        # special token is spelled out; this only saves cache entries.
-        if not (len(seen) and (seen.max() >= 0xCC or b"<|" in memoryview(raw).tobytes())):
+        # special token is spelled out; this only saves work on words that differ in case.
+        if len(raw) and raw.max() < 0xCC and b"<|" not in raw.tobytes():
             texts = pc.ascii_lower(texts)
         words = pc.ascii_split_whitespace(texts)
-        counts = np.diff(words.offsets.to_numpy().astype(np.int64))
+        counts = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
-        at = self.index(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        lens = self.lens[at]
-        word_ends = np.concatenate(([0], np.cumsum(lens)))
-        text_ends = word_ends[np.cumsum(counts)]  # ids before each text's end, without end ids
-        flat = np.repeat(self.starts[at] - word_ends[:-1], lens)
-        flat += np.arange(len(flat))
-        n = len(texts)
-        out = np.full(len(flat) + n, end_id, np.uint32)
-        keep = np.ones(len(out), bool)
-        ends = text_ends + np.arange(1, n + 1)
-        keep[ends - 1] = False
-        out[keep] = self.flat[flat]
-        return out, ends
+        flat, sizes = self.encode_words(coded.dictionary.to_pylist())
+        word = coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int32)
+        lens = sizes[word]
+        ids = flat[ragged((np.cumsum(sizes) - sizes)[word], lens)]
+        before = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))[np.cumsum(counts)]  # ids of texts so far, without end ids
+        ends = before + np.arange(1, n + 1)
+        return np.insert(ids, before, np.uint32(end_id)), ends
+
+
+def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each run, one run after another."""
+    ends = np.cumsum(lens)
+    out = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+    out += np.repeat((starts - (ends - lens)).astype(np.int32), lens)
+    return out
 
 
 _CACHES: dict[str, TokenCache] = {}
@@ -143,7 +164,7 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _CACHES.get(vocabulary) or _CACHES.setdefault(vocabulary, TokenCache(vocabulary))
         for part in slices(batches, 1):
-            ids, ends = cache.encode(pa.array(pc.fill_null(part.column(1), "").to_pylist(), pa.string()) if part.column(1).offset else pc.fill_null(part.column(1), ""))
+            ids, ends = cache.encode(pc.fill_null(part.column(1), ""))
             sizes = np.diff(ends, prepend=0)
             n = -(-sizes // capacity)
             row = np.repeat(np.arange(len(n)), n)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, slices
+from .common import materialise, scratch_path, slices, small_batches
 
 LEAST = 100  # smaller payloads are never revisits
 DATE = "2024-01-01T00:00:00Z"
@@ -118,7 +118,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, id_col: st
     repeat the smallest page_id of their payload are all responses; rows without a page_id
     revisit it. An empty table writes no archive.
     """
-    narrow = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    narrow = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     decided = decide(narrow, least).select("page_id", "url", "html", "digest", F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original")).alias("refers_to"), url_key(F.col("url")).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

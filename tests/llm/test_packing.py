@@ -43,11 +43,13 @@ def test_cache_on_any_text(texts):
     assert cached(texts) == [ids_of(t) for t in texts]
 
 
-def test_cache_starts_anew_beyond_its_limit():
-    small = packing.TokenCache(PATH, limit=5)
-    for k in range(20):
-        ids, _ = small.encode(pa.array([f"word{k} other{k} third{k}"]))
-        assert ids.tolist() == ids_of(f"word{k} other{k} third{k}")
+def test_cache_forgets_beyond_its_limit():
+    small = packing.TokenCache(PATH, limit=6)
+    for k in range(30):
+        text = f"common word{'abcdefghij'[k % 10] * (k + 1)} other{'xyz'[k % 3] * k} it's, {'third' * (k % 5)}"
+        ids, _ = small.encode(pa.array([text]))
+        assert ids.tolist() == ids_of(text)
+    assert len(small.known) <= 20 and "common" in small.known
 
 
 @pytest.mark.parametrize("seed", range(20))
