@@ -139,3 +139,47 @@ def expand_placeholders(text: Column, sizes: Column, mark: str = "<image>", star
     parts = F.split(text, mark)
     joined = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.when(i <= F.size(sizes), F.concat(F.lit(start), F.repeat(F.lit(pad_mark), F.get(sizes, i - 1)), F.lit(end))).otherwise(F.lit(mark)), p)))
     return F.array_join(joined, "")
+
+
+def tagged_calls(text: Column) -> Column:
+    """(name, arguments) of calls written as <function=name><parameter=key>value</parameter>..
+    </function>: arguments are a JSON object; values that are JSON stay so, others are strings."""
+    bodies = F.regexp_extract_all(text, F.lit(r"(?s)<function=[^>]+>.*?</function>"), F.lit(0))
+    pattern = r"(?s)<parameter=([^>]+)>\s*(.*?)\s*</parameter>"
+
+    def one(b: Column) -> Column:
+        found = F.regexp_extract_all(b, F.lit(pattern), F.lit(0))
+        part = lambda m, i: F.regexp_extract(m, pattern, i)
+        value = lambda v: F.when(F.try_parse_json(v).isNotNull(), v).otherwise(F.concat(F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
+        args = F.transform(found, lambda m: F.concat(F.lit('"'), part(m, 1), F.lit('": '), value(part(m, 2))))
+        return F.struct(F.regexp_extract(b, r"<function=([^>]+)>", 1).alias("name"), F.concat(F.lit("{"), F.array_join(args, ", "), F.lit("}")).alias("arguments"))
+
+    return F.transform(bodies, one)
+
+
+def tool_text(tools: Column) -> Column:
+    """A description of tools (name, description, params: name -> (type, description))."""
+
+    def one(t: Column) -> Column:
+        lines = F.transform(F.map_entries(t["params"]), lambda e: F.concat(F.lit("  - "), e["key"], F.lit(" ("), e["value"]["type"], F.lit("): "), e["value"]["description"]))
+        return F.concat(F.lit("> Tool Name: "), t["name"], F.lit("\nTool Description: "), t["description"], F.lit("\nTool Args:\n"), F.array_join(F.array_sort(lines), "\n"))
+
+    return F.array_join(F.transform(tools, one), "\n")
+
+
+#: Templates by name: the slot texts of each role, prefix and system slot.
+TEMPLATES = {
+    "plain": ({"user": ("User: ", "\n"), "assistant": ("Assistant: ", "\n")}, "", ("", "\n")),
+    "chatml": ({"user": ("<|im_start|>user\n", "<|im_end|>\n"), "assistant": ("<|im_start|>assistant\n", "<|im_end|>\n")}, "", ("<|im_start|>system\n", "<|im_end|>\n")),
+}
+
+
+def register_template(name: str, slots: dict[str, tuple[str, str]], prefix: str = "", system_slot: tuple[str, str] = ("", "\n")) -> None:
+    if name in TEMPLATES:
+        raise ValueError(f"template {name} is registered already")
+    TEMPLATES[name] = (slots, prefix, system_slot)
+
+
+def render_with(name: str, turns: Column, system: Column | None = None) -> Column:
+    slots, prefix, system_slot = TEMPLATES[name]
+    return render(turns, slots, system, prefix, system_slot)

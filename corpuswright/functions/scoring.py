@@ -222,3 +222,42 @@ def score_by(name: Column, prediction: Column, answer: Column) -> Column:
     for k, fn in METRICS.items():
         out = F.when(name == k, fn(prediction, answer)).otherwise(out)
     return out
+
+
+def any_phrase(prediction: Column, answers: Column) -> Column:
+    """Whether the text holds one of several reference phrases, cases alike."""
+    return F.exists(answers, lambda a: F.contains(F.lower(prediction), F.lower(a)))
+
+
+def boxed(text: Column) -> Column:
+    r"""The body of the first \boxed{...}, with one level of braces inside."""
+    return F.regexp_extract(text, r"\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}", 1)
+
+
+def general_numeric(prediction: Column, answer: Column, tolerance: float = 0.01) -> Column:
+    """Numbers within the relative tolerance, else equal as simple strings; a boxed body
+    counts for the whole reply."""
+    body = boxed(prediction)
+    p = F.when(body != "", body).otherwise(prediction)
+    x, y = A.as_number(p), A.as_number(answer)
+    near = F.abs(x - y) <= tolerance * F.greatest(F.abs(y), F.lit(1e-12))
+    return F.when(x.isNotNull() & y.isNotNull(), near).otherwise(A.simple_string(p) == A.simple_string(answer))
+
+
+def map_box_score(p: Column, t: Column) -> Column:
+    """Mean IoU over the keys of either map of boxes; a key of one map alone counts 0."""
+    each = F.map_values(F.map_zip_with(p, t, lambda k, a, b: F.coalesce(G.iou(_corners(a), _corners(b)), F.lit(0.0))))
+    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(each), F.lit(1))
+
+
+def box_guard(boxes: Column) -> Column:
+    """The boxes of a list that have four numbers."""
+    return F.filter(boxes, lambda b: (F.size(b) == 4) & F.forall(b, lambda v: v.isNotNull()))
+
+
+def letter_or_text_match(prediction: Column, label: Column) -> Column:
+    """Whether the first letters agree, or the prediction holds the label's text after its
+    letter and mark."""
+    same = F.substring(prediction, 1, 1) == F.substring(label, 1, 1)
+    rest = F.trim(F.substring(label, F.lit(5), F.length(label)))
+    return same | ((F.length(rest) > 0) & F.contains(F.lower(prediction), F.lower(rest)))

@@ -111,3 +111,28 @@ def test_more_rows(spark):
     assert [r.name for r in R.reports_in_order(rows, "name", ["b"]).collect()] == ["b", "a", "z", "Overall"]
     lesions = F.create_map(lit("x"), F.struct(arr(1.0).alias("bbox"), lit(0.5).alias("score"), lit("m").alias("mask")), lit("y"), F.struct(lit(None).cast("array<double>").alias("bbox"), lit(0.5).alias("score"), lit("m").alias("mask")))
     assert list(one(spark, R.prune_map(lesions))) == ["x"]
+
+
+def test_phrases_and_boxed(spark):
+    assert one(spark, S.any_phrase(lit("a Red car"), arr("red", "x"))) and not one(spark, S.any_phrase(lit("a"), arr("red")))
+    assert one(spark, S.boxed(lit(r"so \boxed{\frac{1}{2}} x"))) == r"\frac{1}{2}" and one(spark, S.general_numeric(lit(r"\boxed{3.001}"), lit("3"))) and not one(spark, S.general_numeric(lit("4"), lit("3")))
+    boxes = lambda *v: F.create_map(*[x for k, b in v for x in (lit(k), arr(*b))])
+    assert one(spark, S.map_box_score(boxes(("a", (0.0, 0.0, 1.0, 1.0))), boxes(("a", (0.0, 0.0, 1.0, 1.0)), ("b", (0.0, 0.0, 1.0, 1.0))))) == 0.5
+    assert one(spark, F.size(S.box_guard(F.array(arr(1.0, 2.0, 3.0, 4.0), arr(1.0))))) == 1
+    assert one(spark, S.letter_or_text_match(lit("It is the tooth"), lit("A.  tooth"))) and one(spark, S.letter_or_text_match(lit("B x"), lit("B.  y")))
+
+
+def test_tagged_calls_and_templates(spark):
+    from corpuswright.functions import conversation as C
+
+    text = lit('<function=get_weather>\n<parameter=city>\nParis "x"\n</parameter>\n<parameter=days>3</parameter></function>')
+    (call,) = one(spark, C.tagged_calls(text))
+    import json
+
+    assert call["name"] == "get_weather" and json.loads(call["arguments"]) == {"city": 'Paris "x"', "days": 3}
+    tools = F.array(F.struct(lit("f").alias("name"), lit("does").alias("description"), F.create_map(lit("a"), F.struct(lit("int").alias("type"), lit("size").alias("description"))).alias("params")))
+    assert one(spark, C.tool_text(tools)) == "> Tool Name: f\nTool Description: does\nTool Args:\n  - a (int): size"
+    turns = F.array(*[F.struct(lit(r).alias("role"), lit(c).alias("content")) for r, c in (("user", "hi"), ("assistant", "yo"))])
+    assert one(spark, C.render_with("chatml", turns, lit("sys"))) == "<|im_start|>system\nsys<|im_end|>\n<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
+    with pytest.raises(ValueError):
+        C.register_template("plain", {})
