@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, slices, small_batches
+from .common import fresh, id_text, materialise, slices, small_batches
 
 WINDOW = 10
 
@@ -196,12 +196,15 @@ def digest(ids: list[str]) -> str:
 def clean(docs: DataFrame, benchmark: DataFrame, action: str = "drop", window: int = WINDOW, broadcast_windows: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without contamination, all columns as they are: `drop` leaves out documents with a
     hit, `cut` takes the hit spans out of their text. For a benchmark within
-    `broadcast_windows` nothing is shuffled; a larger one is refused here (use `scan`)."""
+    `broadcast_windows` nothing is shuffled; with a larger one hit texts are found by the join
+    and their documents dropped by an anti join on the text's hash."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    if not _small_enough(items, broadcast_windows):
-        raise ValueError("the benchmark is too large to send to every task: join `scan` instead")
     if action not in ("drop", "cut"):
         raise ValueError("action is drop or cut")
+    if not _small_enough(items, broadcast_windows):
+        if action == "cut":
+            raise ValueError("the benchmark is too large to send to every task: cut by the spans of `scan`")
+        return _drop_by_join(docs, items, window, text_col)
     shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
     at, made = docs.columns.index(text_col), {}
 
@@ -219,6 +222,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, action: str = "drop", window: i
     return small_batches(docs).mapInArrow(run, docs.schema)
 
 
+def _drop_by_join(docs: DataFrame, items: DataFrame, window: int, text_col: str) -> DataFrame:
+    """Equal texts are hit alike, so distinct texts are scanned, under their hash as id."""
+    (key,) = fresh(docs.columns, "__text")
+    hashed = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
+    texts = hashed.select(F.col(key).alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropDuplicates(["doc_id"])
+    hit = _scan_by_join(small_batches(texts), items, window).filter("n_hit > 0").select(F.col("doc_id").alias(key))
+    return hashed.join(hit, key, "left_anti").select(*docs.columns)
+
+
 def cut(text: str, hit: np.ndarray) -> str:
     """The text without the words that are hit; separators before them go with them."""
     raw = text.encode()

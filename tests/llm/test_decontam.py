@@ -75,8 +75,12 @@ def test_clean(odd, spark, documents, benchmark):
     # What is cut may bring words together; a second pass finds nothing of ten words or more.
     assert decontam.report(cut, benchmark).filter("contaminated").count() <= len(bad) // 10
     assert decontam.clean(odd, benchmark).columns == odd.columns
+    by_join = decontam.clean(documents, benchmark, broadcast_windows=1)
+    assert {r.doc_id for r in by_join.collect()} == {r.doc_id for r in kept.collect()} and by_join.columns == documents.columns
     with pytest.raises(ValueError):
-        decontam.clean(documents, benchmark, broadcast_windows=1)
+        decontam.clean(documents, benchmark, action="cut", broadcast_windows=1)
+    with pytest.raises(ValueError):
+        decontam.clean(documents, benchmark, action="keep")
 
 
 def test_cut():
