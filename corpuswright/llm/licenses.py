@@ -9,6 +9,8 @@ DataFrame operations only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,31 +45,41 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def _counts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, token, tf): the sparse term counts of each row's text."""
-    return rows.select(*keys, F.explode(tokens(F.col(text))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+def weigh(sentences: DataFrame, templates: DataFrame) -> tuple[dict[str, float], float, list[tuple]]:
+    """(inverse frequency by token, that of unknown tokens, normalised template vectors).
+
+    Frequencies count all cue sentences of all documents. What comes to the driver is the
+    templates and one number for each token of theirs.
+    """
+    known = sorted({(r["license"], tuple(r["t"])) for r in templates.select("license", tokens(F.col("notice")).alias("t")).collect()})
+    vocabulary = sorted({t for _, ts in known for t in ts})
+    n = sentences.count() + 1
+    each = sentences.select(F.explode(F.array_distinct(F.array_intersect(tokens(F.col("s")), F.array(*map(F.lit, vocabulary))))).alias("token"))
+    seen = {r["token"]: r["count"] for r in each.groupBy("token").count().collect()}
+    idf = {t: math.log1p(n / (seen.get(t, 0) + 1)) for t in vocabulary}
+    vectors = []
+    for number, (name, ts) in enumerate(known):
+        w = {t: ts.count(t) * idf[t] for t in ts}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        vectors += [(t, number, name, x / norm) for t, x in sorted(w.items())]
+    return idf, math.log1p(n), vectors
 
 
 def own_licences(sentences: DataFrame, templates: DataFrame, least: float) -> DataFrame:
     """row, license, score, line (the sentence's number) for the stored cue sentences (row,
-    line, s). Inverse frequencies come from all cue sentences of all documents."""
-    known = templates.withColumn("t", F.xxhash64("license", "notice")).dropDuplicates(["t"])
-    t_terms, terms = _counts(known, ["t"], "notice"), _counts(sentences, ["row", "line"], "s")
-    # Document frequency of the templates' vocabulary: bounded by the templates, so its
-    # joins are broadcast; a token outside it has the largest weight and only adds to norms.
-    vocabulary = t_terms.select("token").distinct()
-    n = sentences.count() + 1
-    seen = terms.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("df"))
-    weights = vocabulary.join(seen, "token", "left").select("token", F.log1p(F.lit(n) / (F.coalesce("df", F.lit(0)) + 1)).alias("idf"))
-    t_vectors = t_terms.join(weights, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    t_norms = t_vectors.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    sides = t_vectors.join(t_norms, "t").join(known.select("t", "license"), "t")
-    sides = sides.groupBy("token", "idf").agg(F.collect_list(F.struct("t", "license", (F.col("w") / F.col("t_norm")).alias("w"))).alias("sides"))
-    met = terms.join(F.broadcast(sides), "token", "left")
-    met = met.withColumn("w", F.col("tf") * F.coalesce("idf", F.log1p(F.lit(float(n)))))
-    norms = met.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = met.select("row", "line", "w", F.explode("sides").alias("x")).groupBy("row", "line", "x.t", "x.license").agg(F.sum(F.col("w") * F.col("x.w")).alias("dot"))
-    scored = dots.join(norms, ["row", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= least)
+    line, s). A sentence's weighted terms are one row each, meet the templates' terms by
+    equality on the token and are summed; the templates' side is broadcast, as its
+    size is that of the templates."""
+    idf, most, vectors = weigh(sentences, templates)
+    spark = sentences.sparkSession
+    sides = spark.createDataFrame(vectors or [("", 0, "", 0.0)], "token string, t int, license string, x double")
+    weights = F.create_map(*[v for t, w in idf.items() for v in (F.lit(t), F.lit(w))]) if idf else F.create_map().cast("map<string,double>")
+    all_tokens = tokens(F.col("s"))
+    terms = F.transform(F.array_distinct(all_tokens), lambda t: F.struct(t.alias("token"), (F.size(F.filter(all_tokens, lambda u: u == t)) * F.coalesce(F.try_element_at(weights, t), F.lit(most))).alias("w")))
+    parts = sentences.select("row", "line", terms.alias("terms")).withColumn("norm", F.sqrt(F.aggregate("terms", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
+    met = parts.select("row", "line", "norm", F.explode("terms").alias("m")).join(F.broadcast(sides), F.col("m.token") == F.col("token"))
+    dots = met.groupBy("row", "line", "norm", "t", "license").agg(F.sum(F.col("m.w") * F.col("x")).alias("dot"))
+    scored = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= least)
     best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("line"), F.col("license"))).alias("b"))
     return best.select("row", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("line"))
 
@@ -90,10 +102,11 @@ def scan(files: DataFrame, templates: DataFrame, is_licence_file: Column | None
     """
     cue = F.filter(F.transform(F.split(F.col(text_col).cast("string"), SENTENCE), lambda s, i: F.struct(s.alias("s"), i.alias("line"))), lambda x: x["s"].rlike(CUE))
     base, _ = materialise(files.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), cue.alias("cue"), F.monotonically_increasing_id().alias("row")), "licence-lines")
-    found = own_licences(base.select("row", F.explode("cue").alias("c")).select("row", "c.line", "c.s"), templates, least)
+    sentences, _ = materialise(base.select("row", F.explode("cue").alias("c")).select("row", "c.line", "c.s"), "cue-sentences")
+    found = own_licences(sentences, templates, least)
     if is_licence_file is None:
         is_licence_file = F.element_at(F.split("path", "/"), -1).rlike(r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$")
-    rows = base.select("doc_id", "path", "row").join(found, "row", "left")
+    rows, _ = materialise(base.select("doc_id", "path", "row").join(found, "row", "left").select("doc_id", "path", "license", "score", "line"), "licensed")
     directory = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
     given = rows.filter(F.col("license").isNotNull() & is_licence_file).groupBy(directory.alias("directory"))
     given = given.agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("doc_id"), F.col("license"))).alias("g")).select("directory", F.col("g.license").alias("given"), (-F.col("g.s")).alias("given_score"))
@@ -102,7 +115,7 @@ def scan(files: DataFrame, templates: DataFrame, is_licence_file: Column | None
     dirs = rows.select(directory.alias("dir")).distinct()
     chain = dirs.select("dir", F.explode(ancestors(F.concat("dir", F.lit("/")))).alias("a")).select("dir", "a.directory", "a.distance")
     chain = chain.join(given, "directory")
-    nearest = chain.groupBy("dir").agg(F.min(F.struct("distance", "directory", "given", "given_score")).alias("m"))
+    nearest, _ = materialise(chain.groupBy("dir").agg(F.min(F.struct("distance", "directory", "given", "given_score")).alias("m")), "nearest")
     out = rows.withColumn("dir", directory).join(nearest, "dir", "left")
     own = F.col("license").isNotNull()
     return out.select(
