@@ -28,6 +28,7 @@ from .common import fresh, id_text, materialise, remove, slices
 
 BITS, SEED, NEAR = 64, 42, 3
 HOT = 16_384
+ROWS_A_TASK, MOST_TASKS = 8192, 20_000  # of fingerprints when their variants are made
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
@@ -148,7 +149,9 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     for a stored table of distinct fingerprints `fp`. Buckets of over `hot` members take
     the inner index."""
     fp = F.col("fp")
-    keys = distinct.select("fp", F.explode(F.concat(_variants(fp, 0, 32, 0), _variants(fp, 32, 32, 1))).alias("key"))
+    # Each row becomes 64, so a stored file's few rows are dealt to many tasks first.
+    tasks = min(MOST_TASKS, distinct.count() // ROWS_A_TASK + 1)
+    keys = distinct.repartition(tasks, "fp").select("fp", F.explode(F.concat(_variants(fp, 0, 32, 0), _variants(fp, 32, 32, 1))).alias("key"))
     shared, path = materialise(keys.groupBy("key").count().filter("count > 1"), "buckets")
     few, many = shared.filter(F.col("count") <= hot).select("key"), shared.filter(F.col("count") > hot).select("key")
     edges = _edges(keys.join(few, "key").groupBy("key").agg(F.collect_list("fp").alias("members")))
