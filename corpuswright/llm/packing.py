@@ -15,6 +15,7 @@ ranks are numbered within hash buckets, and buckets get offsets.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -33,6 +34,7 @@ END_ID = 1
 # The whole vocabulary of the fast path: printable ASCII and the Latin-1 letters, digits
 # and signs. Words with anything else are given to the tokenizer as they are.
 _PLAIN = re.compile(r"[!-~\xa1-\xff]+")
+_MARKS = frozenset(".,;:!?")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
@@ -49,6 +51,8 @@ class TokenCache:
     def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        # Tasks are what runs in parallel: threads of the tokenizer's own would only add memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.full = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.full.model)  # for parts that are normalised and split already
         self.bare.normalizer = normalizers.Sequence([])
@@ -101,25 +105,35 @@ class TokenCache:
         """Ids of all words on end, and the number of each word's ids."""
         if len(self.known) > self.limit:
             self._forget()
-        get, split, odd = self.known.get, {}, []
-        for k, w in enumerate(words):
-            if get(w) is None:
-                if "<|" in w or not _PLAIN.fullmatch(w):
-                    odd.append(w)
-                else:
-                    split[k] = _PIECES.findall(w.lower())
+        get = self.known.get
+        found = list(map(get, words))
+        composed: dict[int, list[str]] = {}
+        odd: list[str] = []
+        for k in [k for k, i in enumerate(found) if i is None]:
+            w = words[k]
+            if w[-1:] in _MARKS and get(w[:-1]) is not None and w[:-1].isalpha():
+                composed[k] = [w[:-1], w[-1]]
+            elif "<|" in w or not _PLAIN.fullmatch(w):
+                odd.append(w)
+            else:
+                composed[k] = _PIECES.findall(w.lower())
         if odd:
-            self._learn(self.full, list(dict.fromkeys(odd)))
-        new = {p: None for parts in split.values() for p in parts if get(p) is None}
+            self._learn(self.full, odd)
+        new = {p: None for parts in composed.values() for p in parts if get(p) is None}
         if new:
             self._learn(self.bare, list(new))
-        known = self.known
         counts = np.ones(len(words), np.int32)
-        counts[list(split)] = list(map(len, split.values()))
-        at = np.fromiter((i for k, w in enumerate(words) for i in ((known[p] for p in split[k]) if k in split else (known[w],))), np.int32, int(counts.sum()))
+        parts = np.fromiter(composed, np.int64, len(composed))
+        counts[parts] = np.fromiter(map(len, composed.values()), np.int32, len(composed))
+        first = np.cumsum(counts) - counts
+        at = np.empty(int(counts.sum()), np.int32)
+        at[ragged(first[parts], counts[parts])] = np.fromiter(map(get, chain.from_iterable(composed.values())), np.int32)
+        whole = np.ones(len(words), bool)
+        whole[parts] = False
+        at[first[whole]] = np.fromiter((get(words[k]) if i is None else i for k, i in enumerate(found) if k not in composed), np.int32) if odd else np.fromiter((i for i in found if i is not None), np.int32)
         self.met[np.unique(at)] += 1
         lens = self.lens[at]
-        return self.flat[ragged(self.starts[at], lens)], np.add.reduceat(lens, np.cumsum(counts) - counts) if len(words) else lens
+        return self.flat[ragged(self.starts[at], lens)], np.add.reduceat(lens, first) if len(words) else lens
 
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each closed by end_id, and the end of each text."""
