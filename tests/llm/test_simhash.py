@@ -123,3 +123,50 @@ def test_long_chain(spark):
     edges = spark.range(400).selectExpr("id parent", "id + 1 child")
     found, _ = simhash.components(edges)
     assert {(r.parent, r.child) for r in found.collect()} == {(0, k) for k in range(1, 401)}
+
+
+def five_word_sets(rows):
+    tokens = [[w.decode() for w in (r.text or "").encode().lower().split()] for r in rows]
+    return [{" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in tokens]
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b) > 0
+
+
+@pytest.mark.parametrize("part", [simhash.PART, 4])
+def test_similar_texts_keep_one(spark, part, monkeypatch):
+    """Copies with a changed word or two, in a chain and in a dense group: of no two of them
+    both stay, though many fingerprints differ in more than three bits."""
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (*simhash.similar_links.__defaults__[:-1], part))
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(120)) for _ in range(30)]
+    for base in range(10):
+        for n in (1, 1, 2):
+            words = texts[base].split()
+            for at in rng.sample(range(120), n):
+                words[at] = "changed"
+            texts.append(" ".join(words))
+    for _ in range(30):  # a chain: each differs from the one before
+        words = texts[-1].split()
+        words[rng.randrange(120)] = f"x{rng.randrange(99)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows, kept = docs.collect(), {r.doc_id for r in simhash.deduplicate(docs, similar=True).collect()}
+    sets = five_word_sets(rows)
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]
+    assert not [p for p in near if kept.issuperset(p)] and set(range(30)) <= kept
+    far = [(i, j) for i, j in near if (slow_fingerprint(rows[i].text) ^ slow_fingerprint(rows[j].text)).bit_count() > 3]
+    before = {r.doc_id for r in simhash.deduplicate(docs).collect()}
+    assert [p for p in far if before.issuperset(p)]
+
+
+def test_pipeline_links_similar_texts(spark, odd, empty):
+    import corpus_pipeline
+
+    words = [f"v{i}" for i in range(120)]
+    words_b = [*words[:60], "changed", *words[61:]]
+    docs = spark.createDataFrame([(2, " ".join(words_b)), (1, " ".join(words)), (3, "other words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+    assert corpus_pipeline.near_dedup(spark, odd, "").columns == odd.columns
+    assert simhash.similar_forest([np.arange(n, dtype=np.uint64) for n in (10, 9, 7, 3)]) == ([(0, 1)], [0, 2, 3])
