@@ -45,24 +45,27 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def weigh(sentences: DataFrame, templates: DataFrame) -> tuple[dict[str, float], float, list[tuple]]:
-    """(inverse frequency by token, that of unknown tokens, normalised template vectors).
-
-    Frequencies count all cue sentences of all documents. What comes to the driver is the
-    templates and one number for each token of theirs.
-    """
+def weigh(terms: DataFrame, n: int, fan: int = 8) -> DataFrame:
+    """terms (row, line, token, tf) with w, the count times the inverse frequency of the token
+    among the n - 1 cue sentences. The join back to the frequencies is salted with the row, as
+    most sentences share some tokens."""
+    seen = terms.groupBy("token").count().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
+    salted = terms.withColumn("salt", F.pmod(F.xxhash64("row", "line"), F.lit(fan)).cast("int"))
+    return salted.join(seen, ["token", "salt"]).select("row", "line", "token", (F.col("tf") * F.log1p(F.lit(float(n)) / (F.col("count") + 1))).alias("w"))
+
+
+def template_vectors(templates: DataFrame, terms: DataFrame, n: int) -> list[tuple]:
+    """(token, number, licence, weight) of the normalised template vectors. What comes to the
+    driver is the templates and one number for each token of theirs."""
     known = sorted({(r["license"], tuple(r["t"])) for r in templates.select("license", tokens(F.col("notice")).alias("t")).collect()})
     vocabulary = sorted({t for _, ts in known for t in ts})
-    n = sentences.count() + 1
-    each = sentences.select(F.explode(F.array_distinct(F.array_intersect(tokens(F.col("s")), F.array(*map(F.lit, vocabulary))))).alias("token"))
-    seen = {r["token"]: r["count"] for r in each.groupBy("token").count().collect()}
-    idf = {t: math.log1p(n / (seen.get(t, 0) + 1)) for t in vocabulary}
+    seen = {r["token"]: r["count"] for r in terms.filter(F.col("token").isin(vocabulary)).groupBy("token").count().collect()}
     vectors = []
     for number, (name, ts) in enumerate(known):
-        w = {t: ts.count(t) * idf[t] for t in ts}
+        w = {t: ts.count(t) * math.log1p(n / (seen.get(t, 0) + 1)) for t in ts}
         norm = math.sqrt(sum(x * x for x in w.values()))
         vectors += [(t, number, name, x / norm) for t, x in sorted(w.items())]
-    return idf, math.log1p(n), vectors
+    return vectors
 
 
 def own_licences(sentences: DataFrame, templates: DataFrame, least: float) -> DataFrame:
@@ -70,15 +73,17 @@ def own_licences(sentences: DataFrame, templates: DataFrame, least: float) -> Da
     line, s). A sentence's weighted terms are one row each, meet the templates' terms by
     equality on the token and are summed; the templates' side is broadcast, as its
     size is that of the templates."""
-    idf, most, vectors = weigh(sentences, templates)
-    spark = sentences.sparkSession
-    sides = spark.createDataFrame(vectors or [("", 0, "", 0.0)], "token string, t int, license string, x double")
-    weights = F.create_map(*[v for t, w in idf.items() for v in (F.lit(t), F.lit(w))]) if idf else F.create_map().cast("map<string,double>")
+    n = sentences.count() + 1
     all_tokens = tokens(F.col("s"))
-    terms = F.transform(F.array_distinct(all_tokens), lambda t: F.struct(t.alias("token"), (F.size(F.filter(all_tokens, lambda u: u == t)) * F.coalesce(F.try_element_at(weights, t), F.lit(most))).alias("w")))
-    parts = sentences.select("row", "line", terms.alias("terms")).withColumn("norm", F.sqrt(F.aggregate("terms", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
-    met = parts.select("row", "line", "norm", F.explode("terms").alias("m")).join(F.broadcast(sides), F.col("m.token") == F.col("token"))
-    dots = met.groupBy("row", "line", "norm", "t", "license").agg(F.sum(F.col("m.w") * F.col("x")).alias("dot"))
+    counted = F.transform(F.array_distinct(all_tokens), lambda t: F.struct(t.alias("token"), F.size(F.filter(all_tokens, lambda u: u == t)).alias("tf")))
+    terms, _ = materialise(sentences.select("row", "line", F.explode(counted).alias("m")).select("row", "line", "m.token", "m.tf"), "terms")
+    sides = sentences.sparkSession.createDataFrame(template_vectors(templates, terms, n) or [("", 0, "", 0.0)], "token string, t int, license string, x double")
+    sides = sides.groupBy("token").agg(F.collect_list(F.struct("t", "license", "x")).alias("sides"))
+    # Per sentence, one row: the norm over all its terms, and its terms that templates have.
+    met = weigh(terms, n).join(F.broadcast(sides), "token", "left").groupBy("row", "line")
+    parts = met.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("sides").isNotNull(), F.struct("token", "w", "sides"))).alias("met"))
+    dots = parts.select("row", "line", "norm", F.explode(F.array_sort("met")).alias("m")).select("row", "line", "norm", "m.w", F.explode("m.sides").alias("x"))
+    dots = dots.groupBy("row", "line", "norm", F.col("x.t").alias("t"), F.col("x.license").alias("license")).agg(F.sum(F.col("w") * F.col("x.x")).alias("dot"))
     scored = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= least)
     best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("line"), F.col("license"))).alias("b"))
     return best.select("row", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("line"))

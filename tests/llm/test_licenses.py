@@ -43,3 +43,13 @@ def test_query_against_plain_search(spark):
 def test_main_path_has_no_python(spark, sf):
     plan = queries.op7_licenses(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_frequent_words_weigh_less(spark):
+    """A word that most cue sentences have costs a notice little, at any size of the table."""
+    sentences = [("this project has a copyright notice of its own",)] * 300 + [("This project: Licensed under the Apache License, Version 2.0.",), ("Licensed under the Apache License, Version 2.0.",)]
+    for times in (1, 8):
+        table = spark.createDataFrame([(i, 0, s) for i, (s,) in enumerate(sentences * times)], "row long, line int, s string")
+        got = {r.row % 302: (r.license, r.score) for r in licenses.own_licences(table, licenses.template_table(spark), 0.0).collect()}
+        assert got[301] == ("Apache-2.0", 1.0)
+        assert got[300][0] == "Apache-2.0" and got[300][1] > 0.99
