@@ -10,13 +10,15 @@ The histogram has at most `capacity` entries however large the corpus is, so it
 thing that reaches the driver. Bins with the same combination of lengths are made together,
 as often as the counts allow, so the plan's size follows the number of distinct lengths,
 not the number of pieces. Pieces get their rank among equals without a one-task window:
-ranks are numbered within hash buckets, and buckets get offsets.
+ranks are numbered within hash buckets of a stored row number, and buckets get offsets.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, slices
+from .common import fresh, id_text, materialise, slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -44,6 +46,8 @@ class TokenCache:
     The tokenizer drops white space and no token crosses it, so a text's ids are those of
     its words one after another. A plain word is cut into the parts the tokenizer would
     cut it into; each distinct part is encoded once per process by the tokenizer's own model.
+    A known word with a mark behind it is that word's ids and the mark's, if the tokenizer sees letters
+    only before the mark: combining marks, which composing or lowering a letter may leave, join it.
     Other words are encoded whole by the tokenizer itself. `limit` bounds the memory: beyond
     it only what was met most often stays, half as much at most.
     """
@@ -111,14 +115,14 @@ class TokenCache:
         odd: list[str] = []
         for k in [k for k, i in enumerate(found) if i is None]:
             w = words[k]
-            if w[-1:] in _MARKS and get(w[:-1]) is not None and w[:-1].isalpha():
+            if w[-1:] in _MARKS and get(w[:-1]) is not None and unicodedata.normalize("NFC", w[:-1]).lower().isalpha():
                 composed[k] = [w[:-1], w[-1]]
             elif "<|" in w or not _PLAIN.fullmatch(w):
                 odd.append(w)
             else:
                 composed[k] = _PIECES.findall(w.lower())
         if odd:
-            self._learn(self.full, odd)
+            self._learn(self.full, list(dict.fromkeys(odd)))
         new = {p: None for parts in composed.values() for p in parts if get(p) is None}
         if new:
             self._learn(self.bare, list(new))
@@ -166,12 +170,12 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 _CACHES: dict[str, TokenCache] = {}
 
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
+PIECE_SCHEMA = "doc_id long, piece int, start long, length long"
 
 
-def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most `capacity` ids: doc_id, piece, start, length, ids (little-endian
-    unsigned 32-bit). A null text counts as empty and gives the end id alone; documents
+def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """Pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32 and, with
+    `keep_ids`, the ids themselves (little-endian unsigned 32-bit). A null text counts as empty and gives the end id alone; documents
     of more than `capacity` ids are cut at its multiples; repeated rows give repeated pieces.
     `vocabulary` is a tokenizer file that every machine has."""
 
@@ -186,10 +190,13 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col:
             start = piece * capacity
             length = np.minimum(sizes[row] - start, capacity)
             bounds = np.concatenate(([0], np.cumsum(length))) * 4
-            cut = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), cut], ["doc_id", "piece", "start", "length", "ids"])
+            raw = ids.astype("<u4").tobytes()
+            view = memoryview(raw)
+            crc = pa.array([zlib.crc32(view[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.int64())
+            cut = [pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw)])] * keep_ids
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), crc, *cut], ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, PIECE_SCHEMA)
+    return id_text(docs, id_col, text_col).mapInArrow(run, PIECE_SCHEMA + ", ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def fullest(counts: dict[int, int], order: list[int], room: int) -> dict[int, int]:
@@ -245,44 +252,54 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 
 
 def _slots(spark: SparkSession, plan: list[tuple[int, dict[int, int]]]) -> DataFrame:
-    """The plan as rows: pieces of a length with rank in [first, last) go to these bins."""
-    rows, done, base = [], {}, 0
+    """The plan as rows: pieces of a length with rank in [first, last) go to these bins. The
+    ranks of a length are cut into as many equal parts of `step` as it has runs, and a run
+    is a row in each part it reaches, so there are at most two rows for each run and a piece
+    looks through a few runs only."""
+    runs, done, base = {}, {}, 0
     for bins, use in plan:
         offset = 0
         for length in sorted(use, reverse=True):
             first = done.get(length, 0)
-            rows.append((length, first, first + bins * use[length], use[length], base, offset))
+            runs.setdefault(length, []).append((first, first + bins * use[length], use[length], base, offset))
             done[length] = first + bins * use[length]
             offset += length * use[length]
         base += bins
-    return spark.createDataFrame(rows, "slot_length long, first long, last long, times long, base long, at long")
+    rows = []
+    for length, own in runs.items():
+        step = -(-done[length] // len(own))
+        rows += [(length, part, step, *r) for r in own for part in range(r[0] // step, (r[1] - 1) // step + 1)]
+    return spark.createDataFrame(rows, "slot_length long, part long, step long, first long, last long, times long, base long, at long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 100_000) -> DataFrame:
     """Adds sequence_id and offset to `pieces` (any columns, with a long `length` of 1 to
-    `capacity`). Row identity is not needed: repeated rows get places of their own. An
-    empty table gives an empty result. `pieces` is read twice: pass a stored table."""
-    spark = pieces.sparkSession
+    `capacity`). The pieces are stored with a row number, so repeated rows get places of their
+    own and lie in different buckets. An empty table gives an empty result."""
+    spark, payload = pieces.sparkSession, pieces.columns
+    row, bucket, rank = fresh(payload, "__row", "__bucket", "__rank")
+    pieces, _ = materialise(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     if not histogram:
-        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return pieces.select(*payload, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     slots = _slots(spark, plan_bins(histogram, capacity))
     # Rank among pieces of equal length: hash buckets of bounded size, then their offsets.
     width = max(1, -(-max(histogram.values()) // per_bucket))
-    payload = pieces.columns
-    keyed = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*payload), F.lit(width)))
-    sums = keyed.groupBy("length", "__bucket").count()
-    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("length").alias("__l"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("length", "__bucket").orderBy(*[F.col(c) for c in payload])
-    ranked = keyed.withColumn("__rank", F.row_number().over(inside) - 1)
-    ranked = ranked.join(sums, (ranked["length"] == sums["__l"]) & (ranked["__bucket"] == sums["__b"])).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    # `slots` is bounded by the number of lengths, so each piece finds its run among its
-    # length's few by a broadcast equality join.
-    runs = slots.groupBy("slot_length").agg(F.sort_array(F.collect_list(F.struct("first", "last", "times", "base", "at"))).alias("__runs"))
-    placed = ranked.join(F.broadcast(runs), ranked["length"] == runs["slot_length"])
-    run = F.filter("__runs", lambda r: (r["first"] <= F.col("__rank")) & (F.col("__rank") < r["last"]))[0]
-    placed = placed.withColumn("__run", run).withColumn("__k", F.col("__rank") - F.col("__run.first"))
+    keyed = pieces.withColumn(bucket, F.pmod(F.xxhash64(row), F.lit(width)))
+    before = Window.partitionBy("__l").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy(F.col("length").alias("__l"), F.col(bucket).alias("__b")).count()
+    sums = sums.select("__l", "__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("length", bucket).orderBy(row)
+    ranked = keyed.withColumn(rank, F.row_number().over(inside) - 1)
+    ranked = ranked.join(sums, (ranked["length"] == sums["__l"]) & (ranked[bucket] == sums["__b"])).withColumn(rank, F.col(rank) + F.col("__before"))
+    # `slots` is bounded by the number of lengths, so each piece finds its run among the few of
+    # its part by broadcast equality joins.
+    steps = slots.select(F.col("slot_length").alias("__sl"), F.col("step").alias("__step")).distinct()
+    runs = slots.groupBy(F.col("slot_length").alias("__rl"), F.col("part").alias("__part")).agg(F.collect_list(F.struct("first", "last", "times", "base", "at")).alias("__runs"))
+    placed = ranked.join(F.broadcast(steps), ranked["length"] == steps["__sl"])
+    placed = placed.join(F.broadcast(runs), (placed["length"] == runs["__rl"]) & (F.floor(F.col(rank) / F.col("__step")) == runs["__part"]))
+    run = F.filter("__runs", lambda r: (r["first"] <= F.col(rank)) & (F.col(rank) < r["last"]))[0]
+    placed = placed.withColumn("__run", run).withColumn("__k", F.col(rank) - F.col("__run.first"))
     return placed.select(
         *payload,
         (F.col("__run.base") + F.floor(F.col("__k") / F.col("__run.times"))).cast("long").alias("sequence_id"),
@@ -293,6 +310,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 100_000)
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with ids_crc32 and their places; the ids themselves come
     from `tokenise` when a writer needs them, and are not shuffled here."""
-    pieces = tokenise(docs, vocabulary, capacity, id_col, text_col).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    stored, _ = materialise(pieces, "pieces")
-    return pack(stored, capacity)
+    return pack(tokenise(docs, vocabulary, capacity, id_col, text_col, keep_ids=False), capacity)

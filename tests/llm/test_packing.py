@@ -1,8 +1,10 @@
 import random
 import struct
+import unicodedata
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -43,6 +45,26 @@ def test_cache_on_any_text(texts):
     assert cached(texts) == [ids_of(t) for t in texts]
 
 
+def test_cache_does_not_depend_on_what_it_met_before():
+    """One cache meets each letter alone, then with each mark behind it; strings of letters that
+    change when composed or lowered follow in random order."""
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha() and not 0xAC00 < c < 0xD7A3 and not 0x3400 <= c < 0x9FFF and not 0x20000 <= c < 0x323B0]
+    changed = [c for c in letters if len(unicodedata.normalize("NFC", c).lower()) > 1 or not unicodedata.normalize("NFC", c).lower().isalpha()]
+    assert "\u0130" in changed and "\u0958" in changed
+    cache, rng = packing.TokenCache(PATH, limit=500_000), random.Random(5)
+    stems = letters + ["".join(rng.choice(changed + letters[:300]) for _ in range(rng.randint(1, 4))) for _ in range(20_000)]
+    strings = stems + [s + m for s in stems for m in (".,;:!?" if s in changed or len(s) > 1 else rng.choice(".,;:!?"))]
+    assert len(strings) > 100_000
+    wrong = 0
+    for lo in range(0, len(strings), 10_000):
+        part = strings[lo : lo + 10_000]
+        ids, sizes = cache.encode_words(part)
+        ends = np.cumsum(sizes)
+        want = [e.ids for e in FULL.encode_batch(part, add_special_tokens=False)]
+        wrong += sum(ids[e - n : e].tolist() != w for e, n, w in zip(ends.tolist(), sizes.tolist(), want))
+    assert wrong == 0
+
+
 def test_cache_forgets_beyond_its_limit():
     small = packing.TokenCache(PATH, limit=6)
     for k in range(30):
@@ -109,3 +131,27 @@ def test_ranks_over_many_buckets(spark):
     got = packing.pack(table, capacity=8, per_bucket=10).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == 1000
     assert len({r.sequence_id for r in got}) == -(-sum(r.length for r in got) // 8)
+
+
+def test_one_row_repeated_fills_many_buckets(spark):
+    """Copies of a row are dealt by their row number, and clashing names are left alone."""
+    table = spark.range(3000).selectExpr("1L doc_id", "5L length", "7 __row", "8 __bucket", "9 __Rank")
+    got = packing.pack(table, capacity=16, per_bucket=100)
+    assert got.columns == [*table.columns, "sequence_id", "offset"]
+    got = got.collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 3000 and len({r.sequence_id for r in got}) == 1000
+    assert {(r["__row"], r["__bucket"], r["__Rank"]) for r in got} == {(7, 8, 9)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_piece_finds_its_run(spark, seed):
+    """Many runs to a length: places are gapless and as few sequences as the plan has."""
+    rng = random.Random(seed)
+    lengths = [min(60, int(rng.expovariate(0.08)) + 1) for _ in range(4000)]
+    got = packing.pack(spark.createDataFrame([(n,) for n in lengths], "length long"), capacity=64, per_bucket=50).collect()
+    assert Counter(r.length for r in got) == Counter(lengths)
+    at = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at[r.sequence_id]
+        at[r.sequence_id] += r.length
+    assert max(at.values()) <= 64 and len(at) == sum(b for b, _ in packing.plan_bins(Counter(lengths), 64))
