@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python-side work is cut into slices of about this many text bytes.
@@ -59,6 +59,26 @@ def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for each row however often `use` names it, also within
+    lambdas, where the optimizer would compute it anew for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def join_one(big: DataFrame, small: DataFrame, key: str, few: int = 100_000, hot: int = 1_000_000) -> DataFrame:
+    """Left join of big with a stored `small` that has one row for each key, where a third of big may
+    share a key. At most `few` rows of small are broadcast; of more, only the keys that over `hot`
+    rows of big have (so at most rows / hot of them), and the rest meet by a shuffle in which no key is
+    hot. Null keys meet nothing."""
+    if small.count() <= few:
+        return big.join(F.broadcast(small), key, "left")
+    often, _ = materialise(big.groupBy(key).count().filter(F.col("count") > hot).select(key), "hot-keys")
+    if not often.limit(1).count():
+        return big.join(small, key, "left")
+    inside = big.join(F.broadcast(often), key, "left_semi").join(F.broadcast(small.join(F.broadcast(often), key, "left_semi")), key, "left")
+    return inside.unionByName(big.join(F.broadcast(often), key, "left_anti").join(small, key, "left"))
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, with the session's Arrow batches bounded in bytes unless it has a bound of its own."""
     conf = df.sparkSession.conf

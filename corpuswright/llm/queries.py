@@ -49,10 +49,11 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: each is filed as source/lang/doc_id, and one that begins with
-    a notice is the licence file of its directory."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
-    return licenses.scan(docs, licenses.template_table(spark), F.col("line") == 0)
+    """Documents have no paths: each is filed as source/lang/(a thousand ids)/doc_id, and one whose
+    first or last sentence is its notice is a licence file of that folder."""
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    return licenses.scan(docs, licenses.template_table(spark), (F.col("kind") == 0) & ((F.col("line") == 0) | F.col("last")))
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
