@@ -8,6 +8,8 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,8 +41,64 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Scratch made within each open `scratch` block, innermost last.
+_OPEN: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/corpuswright/{tag}-{uuid.uuid4().hex}"
+    """A new folder below the application's own on shared storage."""
+    path = f"{shared_root(spark)}/corpuswright/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """What operators store within the block is deleted at its end, except the paths that the
+    caller adds to the yielded set; these go with the block around it, if there is one."""
+    kept: set[str] = set()
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield kept
+    finally:
+        _OPEN.pop()
+        remove(spark, *[p for p in made if p not in kept])
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+
+
+def paths_read(df: DataFrame) -> set[str]:
+    """The folders whose files a plan reads."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            out |= {roots.apply(i).toString() for i in range(roots.size())}
+    return out
+
+
+def tidy(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query (of a session and more) that deletes all scratch which its result does not read. What the
+    result reads stays until an enclosing `scratch` block ends, or `clear`."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args, **options) -> DataFrame:
+        with scratch(spark) as kept:
+            df = query(spark, *args, **options)
+            plain = {p.split(":", 1)[-1].lstrip("/"): p for p in _OPEN[-1]}
+            kept |= {plain[q] for p in paths_read(df) if (q := p.split(":", 1)[-1].lstrip("/")) in plain}
+            kept |= {p for p in _OPEN[-1] if "/lasting-" in p}
+        return df
+
+    return run
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch of this application; results that read it can no longer be computed."""
+    remove(spark, f"{shared_root(spark)}/corpuswright/{spark.sparkContext.applicationId}")
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
@@ -65,18 +123,24 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def join_by_count(big: DataFrame, small: DataFrame, key: str, count: str, how: str = "left", hot: int = 1_000_000) -> DataFrame:
+    """Joins big with a `small` that has one row for each key and the `count` of big's rows with it,
+    where a third of big may share a key. Keys of over `hot` rows, so at most rows / hot of them, are
+    broadcast; the rest meet by a shuffle in which no key is hot. Null keys meet nothing."""
+    often = small.filter(F.col(count) > hot)
+    inside = big.join(F.broadcast(often), key)
+    rest = big.join(F.broadcast(often.select(key)), key, "left_anti").join(small.filter(F.col(count) <= hot), key, how)
+    return inside.unionByName(rest)
+
+
 def join_one(big: DataFrame, small: DataFrame, key: str, few: int = 100_000, hot: int = 1_000_000) -> DataFrame:
-    """Left join of big with a stored `small` that has one row for each key, where a third of big may
-    share a key. At most `few` rows of small are broadcast; of more, only the keys that over `hot`
-    rows of big have (so at most rows / hot of them), and the rest meet by a shuffle in which no key is
-    hot. Null keys meet nothing."""
+    """Left join of big with a stored `small` that has one row for each key. At most `few` rows of
+    small are broadcast; with more, big's rows are counted by key for `join_by_count`."""
     if small.count() <= few:
         return big.join(F.broadcast(small), key, "left")
-    often, _ = materialise(big.groupBy(key).count().filter(F.col("count") > hot).select(key), "hot-keys")
-    if not often.limit(1).count():
-        return big.join(small, key, "left")
-    inside = big.join(F.broadcast(often), key, "left_semi").join(F.broadcast(small.join(F.broadcast(often), key, "left_semi")), key, "left")
-    return inside.unionByName(big.join(F.broadcast(often), key, "left_anti").join(small, key, "left"))
+    (n,) = fresh([*big.columns, *small.columns], "__n")
+    counted, _ = materialise(small.join(big.groupBy(key).agg(F.count("*").alias(n)), key), "counted")
+    return join_by_count(big, counted, key, n, hot=hot).drop(n)
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, oracles, packing, quality_cnn, rules, secrets, sharding, simhash, urlfilter, warc
+from . import common, decontam, licenses, oracles, packing, quality_cnn, rules, secrets, sharding, simhash, urlfilter, warc
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -56,9 +56,19 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, licenses.template_table(spark), (F.col("kind") == 0) & ((F.col("line") == 0) | F.col("last")))
 
 
+def _stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return common.materialise(rules.ledger(_table(spark, sf_dir, "documents")), "ledger")[0]
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = rules.ledger(_table(spark, sf_dir, "documents"))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.passes("base")).alias("base_failed"), rules.passes("v1").alias("kept"))
+    """The ledger is stored; policies are masks on its bits."""
+    book = _stored_ledger(spark, sf_dir)
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.passes("base")).alias("base_failed"), rules.passes("v2").alias("kept"), F.col("failed").alias("failed_rules"))
+
+
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy costs, from the stored ledger alone."""
+    return rules.ablation(_stored_ledger(spark, sf_dir), "v2")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +80,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_quality, op3_packing, op4_secrets, op5_sharding, op6_urls, op7_licenses, op8_rules, op9_decontamination, op10_simhash)}
+    known = (op1_warc, op2_quality, op3_packing, op4_secrets, op5_sharding, op6_urls, op7_licenses, op8_rules, op9_decontamination, op10_simhash, rules_ablation)
+    return {f.__name__: common.tidy(f) for f in known}
 
 
 def oracle_sql() -> dict[str, str]:

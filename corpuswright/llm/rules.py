@@ -9,7 +9,9 @@ a text again. An ablation is a bitwise aggregation over the distinct failure mas
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from operator import eq
 
 import numpy as np
@@ -24,30 +26,36 @@ SYMBOLS = "#*$%&|<>"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+Measured = Callable[[str], Column]
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A rule fails where `fails` (a condition over the measurements) is true."""
+    """A rule fails where `fails` of the measurements is true."""
 
     name: str
-    fails: str
+    fails: Callable[[Measured], Column]
 
 
-#: In bit order; append only, as stored ledgers keep their bits. All sums are whole numbers.
+#: In bit order. Append only: a stored ledger's bits keep their meaning, so a changed threshold is
+#: a new rule. All sums are whole numbers.
 RULES = (
-    Rule("few_words", "n_words < 20"),
-    Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    Rule("symbol_share", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
-    Rule("upper_case", "2 * n_upper_words > n_words"),
-    Rule("long_words", "word_chars > 40 * n_words"),
-    Rule("stutter", "5 * n_stutter > n_words"),
+    Rule("few_words", lambda m: m("n_words") < 20),
+    Rule("repeated_windows", lambda m: 100 * m("n_repeat_words") > 30 * m("n_words")),
+    Rule("symbol_share", lambda m: 10 * m("n_symbols") > m("n_words")),
+    Rule("duplicate_lines", lambda m: 100 * m("n_dup_lines") > 30 * m("n_lines")),
+    Rule("upper_case", lambda m: 2 * m("n_upper_words") > m("n_words")),
+    Rule("long_words", lambda m: m("word_chars") > 40 * m("n_words")),
+    Rule("stutter", lambda m: 5 * m("n_stutter") > m("n_words")),
+    Rule("half_duplicate_lines", lambda m: 2 * m("n_dup_lines") > m("n_lines")),
 )
 BASE_RULES = ("few_words", "repeated_windows")
 
-#: Versions of the policy: the rules each enforces.
+#: Versions of the policy: the rules each enforces. A version never changes.
 POLICIES = {
     "base": BASE_RULES,
-    "v1": ("few_words", "repeated_windows", "symbol_share", "duplicate_lines", "upper_case", "long_words", "stutter"),
+    "v1": ("few_words", "repeated_windows", "symbol_share", "duplicate_lines", "upper_case", "long_words"),
+    "v2": ("few_words", "repeated_windows", "symbol_share", "half_duplicate_lines", "upper_case", "long_words", "stutter"),
 }
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_stutter")
@@ -111,14 +119,16 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_slices(id_text(docs, id_col, text_col), "text", run, SCHEMA)
 
 
+def failure_bits(measured: Measured, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A long with bit k set where rule k fails."""
+    bits = [F.when(r.fails(measured), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, r in enumerate(rules)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measurements and `failed`, a long with bit k set where rule k fails. An empty table
     gives an empty ledger."""
-    bits = [F.when(F.expr(r.fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, r in enumerate(rules)]
-    failed = bits[0]
-    for b in bits[1:]:
-        failed = failed.bitwiseOR(b)
-    return measurements(docs, id_col, text_col).withColumn("failed", failed)
+    return measurements(docs, id_col, text_col).withColumn("failed", failure_bits(F.col, rules))
 
 
 def mask(names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> int:
@@ -126,10 +136,10 @@ def mask(names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> int:
     return sum(1 << at[n] for n in names)
 
 
-def passes(policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES, failed: str = "failed") -> Column:
+def passes(policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES, failed: Column | None = None) -> Column:
     """Whether a ledger row passes a policy (a version's name, or rule names)."""
     names = POLICIES[policy] if isinstance(policy, str) else policy
-    return F.col(failed).bitwiseAND(F.lit(mask(names, rules)).cast("long")) == 0
+    return (F.col("failed") if failed is None else failed).bitwiseAND(F.lit(mask(names, rules)).cast("long")) == 0
 
 
 def ablation(book: DataFrame, policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -148,9 +158,9 @@ def ablation(book: DataFrame, policy: str | tuple[str, ...], rules: tuple[Rule,
     )
 
 
-def keep(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
-    """docs without the rows that the policy rejects. The measurements travel with their
-    row, so repeated and null ids are no special case and nothing is shuffled."""
+def keep(docs: DataFrame, policy: str = "v2", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose failure bits meet the policy's mask. The measurements travel
+    with their row, so repeated and null ids are no special case and nothing is shuffled."""
     names, at = docs.columns, docs.columns.index(text_col)
     (extra,) = fresh(names, "__book")
 
@@ -160,5 +170,5 @@ def keep(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFra
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     judged = map_slices(docs, text_col, run, f"{schema}, {extra} struct<{', '.join(f'{m}: bigint' for m in MEASURES)}>")
-    failing = (re.sub(r"\b(n_\w+|word_chars)\b", rf"{extra}.\1", r.fails) for r in RULES if r.name in POLICIES[policy])
-    return judged.filter(f"NOT ({' OR '.join(f'({x})' for x in failing)})").select(*names)
+    failed = failure_bits(lambda m: F.col(extra)[m])
+    return judged.filter(passes(policy, failed=failed)).select(*names)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import join_one, materialise
 
 COORD, TEXT, ROW = 20, 28, 12
 KEY = COORD + TEXT + ROW
@@ -40,24 +40,34 @@ class Node:
         return self.parts
 
 
-def coordinate(column: Column, kind: T.DataType) -> Column:
-    """A number in the column's order: numbers as they are, strings by their first six
-    bytes. Null for null."""
-    if isinstance(kind, T.StringType):
-        return F.conv(F.hex(F.substring(F.rpad(F.encode(column, "utf-8"), 6, F.lit(b"\x00")), 1, 6)), 16, 10).cast("double")
-    return column.cast("double")
+def ranks(docs: DataFrame, column: str, value: str, rank: str) -> DataFrame:
+    """A stored table of the distinct non-null strings of a column with their rank from 0 in byte
+    order. They are sorted by range partition and numbered within; the partitions' counts, a row
+    each, give the offsets."""
+    distinct = docs.select(F.col(column).alias(value)).filter(F.col(value).isNotNull()).distinct()
+    sorted_, _ = materialise(distinct.repartitionByRange(value).sortWithinPartitions(value).withColumn("at", F.monotonically_increasing_id()), "sorted-values")
+    part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range partition
+    offsets = sorted_.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    ranked = sorted_.withColumn("part", part).join(F.broadcast(offsets), "part").select(value, (inside + F.col("offset")).cast("double").alias(rank))
+    return materialise(ranked, "ranks")[0]
 
 
 def slim_rows(docs: DataFrame, dims: list[str], id_col: str, text_col: str) -> DataFrame:
-    """doc_id, size, text_crc32, a stored row number, hashes and raw coordinates."""
+    """doc_id, size, text_crc32, a row number, hashes and raw coordinates: numbers as they are,
+    strings by their rank among all distinct values. Null for null."""
     kinds = {f.name: f.dataType for f in docs.schema}
     text = F.col(text_col).cast("string")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
-    raw = [coordinate(F.col(d), kinds[d]) if d != "__size" else F.log2(size) for d in dims]
-    return docs.select(
+    strings = [k for k, d in enumerate(dims) if d != "__size" and isinstance(kinds[d], T.StringType)]
+    raw = [F.log2(size) if d == "__size" else F.col(d) if k in strings else F.col(d).cast("double") for k, d in enumerate(dims)]
+    rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.encode(text, "utf-8"), F.lit(b""))).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("text_hash"), *[r.alias(f"raw{k}") for k, r in enumerate(raw)],
+        F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("text_hash"), *[r.alias(f"value{k}" if k in strings else f"raw{k}") for k, r in enumerate(raw)],
     )
+    for k in strings:
+        rows = join_one(rows, ranks(docs, dims[k], f"value{k}", f"raw{k}"), f"value{k}").drop(f"value{k}")
+    return rows
 
 
 def _walk(roots: list[Node], keys: list[Column], at_end: Callable[[Node], Column]) -> Column:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_text, map_slices, materialise, remove, slices, small_batches
+from .common import fresh, id_text, join_by_count, map_slices, materialise, remove, slices, small_batches
 
 BITS, SEED, NEAR = 64, 42, 3
 HOT = 16_384
@@ -280,14 +280,14 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", leas
     return edges, paths
 
 
-def _least(edges: DataFrame, by: str, other: str, fan: int) -> DataFrame:
-    """edges with `least`, the smallest neighbour by `by`. The join back is salted with
-    `other`, as one node may hold most edges."""
-    least = edges.groupBy(by).agg(F.min(other).alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
-    return edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(fan)).cast("int")).join(least, [by, "salt"]).drop("salt")
+def _least(edges: DataFrame, by: str, other: str) -> DataFrame:
+    """edges with `least`, the smallest neighbour by `by`. One node may hold most edges: it is
+    joined back by its count."""
+    least = edges.groupBy(by).agg(F.min(other).alias("least"), F.count("*").alias("degree"))
+    return join_by_count(edges, least, by, "degree", "inner").drop("degree")
 
 
-def components(edges: DataFrame, rounds: int = 40, fan: int = 8) -> tuple[DataFrame, list[str]]:
+def components(edges: DataFrame, rounds: int = 40) -> tuple[DataFrame, list[str]]:
     """(child, parent) with parent the smallest node of the child's component, for edges
     parent < child. Alternates large-star and small-star, each step halving the depth, and
     stores the edges after each round; stops when a round changes nothing."""
@@ -299,8 +299,8 @@ def components(edges: DataFrame, rounds: int = 40, fan: int = 8) -> tuple[DataFr
             return now, paths
         mark = got
         both = now.union(now.select(F.col("child").alias("parent"), F.col("parent").alias("child"))).toDF("u", "v")
-        large = _least(both, "u", "v", fan).filter("v > u").select(F.least("least", "u").alias("parent"), F.col("v").alias("child")).distinct()
-        least = _least(large, "child", "parent", fan)
+        large = _least(both, "u", "v").filter("v > u").select(F.least("least", "u").alias("parent"), F.col("v").alias("child")).distinct()
+        least = _least(large, "child", "parent")
         small = least.select(F.col("least").alias("parent"), "child").union(least.select(F.col("least").alias("parent"), F.col("parent").alias("child"))).filter("parent < child").distinct()
         now, path = materialise(small, "edges")
         paths.append(path)
@@ -308,8 +308,8 @@ def components(edges: DataFrame, rounds: int = 40, fan: int = 8) -> tuple[DataFr
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, similar: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(documents, components): doc_id, fp, text_hash for each row of docs, and fp, root,
-    component_id for each distinct fingerprint.
+    """(documents, components): doc_id, fp, text_hash for each row of docs, and fp, copies (rows that
+    have it), root, component_id for each distinct fingerprint.
 
     A null or wordless text has fingerprint zero and links like any other; null ids are
     never a component's name unless all of its ids are null. Repeated rows are rows. With
@@ -317,7 +317,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     """
     spark = docs.sparkSession
     rows, _ = materialise(fingerprints(docs, id_col, text_col, keep_hash=True, bands=similar), "fingerprints")
-    distinct, _ = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct, _ = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "distinct")
     edges, more = links(distinct.select("fp"), hot), []
     if similar:
         wider, more = similar_links(docs, rows, text_col)
@@ -325,10 +325,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     found, old = components(edges)
     named = distinct.join(found.select(F.col("child").alias("fp"), F.col("parent").alias("root")), "fp", "left")
     named = named.withColumn("root", F.coalesce("root", "fp"))
-    # Only components of several fingerprints need the second step; roots hold an arbitrary
-    # number of members, so these are aggregated first and joined to by their root.
-    roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    result, _ = materialise(named.select("fp", "root").join(roots, "root"), "components")
+    # Roots hold an arbitrary number of members, fingerprints one of copies: both are joined by count.
+    roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    result, _ = materialise(join_by_count(named.select("fp", "root", "copies"), roots, "root", "members", "inner"), "components")
     remove(spark, *old, *more)
     return rows, result
 
@@ -336,14 +335,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
     rows, named = groups(docs, id_col, text_col, hot)
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_by_count(rows, named, "fp", "copies", "inner").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, similar: bool = False) -> DataFrame:
     """docs with one row of each component: that of the smallest id (among rows that repeat
-    an id, that of the smallest text hash). All columns stay as they are."""
+    an id, that of the smallest text hash; of rows equal in both, any one). All columns stay
+    as they are."""
     rows, named = groups(docs, id_col, text_col, hot, similar)
-    keep = rows.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = join_by_count(rows, named, "fp", "copies", "inner").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = keep.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
     names = fresh(docs.columns, "__id", "__null", "__hash")
     keys = lambda i, h: [x.alias(n) for x, n in zip((F.coalesce(i, F.lit(0)), i.isNull(), h), names)]

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, slices, small_batches
+from .common import join_one, materialise, scratch_path, slices, small_batches
 
 LEAST = 100  # smaller payloads are never revisits
 DATE = "2024-01-01T00:00:00Z"
@@ -36,6 +36,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROLL = 1 << 30  # bytes of an archive before the next is begun
 BLOCK_LINES = 1024
 READ_AHEAD = 4 << 20
+BYTES_A_TASK, LINES_A_TASK = 256 << 20, 1_000_000  # of archives read, of captures sorted or keys looked up
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -53,19 +54,25 @@ def url_key(url: Column) -> Column:
     return F.when(url.isNull(), F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, "\\.")), ","), F.lit(")"), tail))
 
 
-def decide(pages: DataFrame, least: int = LEAST, fan: int = 16) -> DataFrame:
+def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """pages (page_id, url, html) with digest, bytes and `original`: of the pages with an
     equal payload of at least `least` bytes, the smallest page_id, where several share it.
 
-    Payloads are compared by their SHA-256. The groups are aggregated before the shuffle and
-    joined back under a salt, so a group of copies of any size is spread over `fan` keys.
+    Payloads are compared by their SHA-256. Groups of copies are found on digests alone and stored;
+    they come back to the pages by `join_one`, so payloads are shuffled only where the groups are
+    too many to broadcast, and a group of any size is no hot key then.
     """
     html = F.coalesce("html", F.lit(""))
     own = pages.withColumns({"html": html, "digest": F.sha2(F.encode(html, "utf-8"), 256), "bytes": F.octet_length(html).cast("long")})
     groups = pages.select("page_id", html.alias("html")).filter(F.octet_length("html") >= least).groupBy(F.sha2(F.encode("html", "utf-8"), 256).alias("digest"))
-    groups = groups.agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
-    return own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(fan)).cast("int")).join(groups, ["digest", "salt"], "left").drop("salt")
+    groups, _ = materialise(groups.agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
+    return join_one(own, groups, "digest")
+
+
+def tasks_for(spark: SparkSession, size: int, per_task: int, least: int) -> int:
+    """Tasks of at most `per_task` each; a smaller job is dealt to all cores, `least` a task at
+    the least."""
+    return max(1, -(-size // per_task), min(spark.sparkContext.defaultParallelism, -(-size // least)))
 
 
 def record_id(page_id: int | None) -> str:
@@ -185,7 +192,8 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
                 f.write(zlib.compress(json.dumps(directory).encode()))
             yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([directory[-1][1]]), pa.array([name])], ["first", "last", "name"])
 
-    sorted_ = captures.repartitionByRange("key", "page_id", "path", "at").sortWithinPartitions("key", "page_id", "path", "at")
+    tasks = tasks_for(captures.sparkSession, captures.count(), LINES_A_TASK, LINES_A_TASK // 100)
+    sorted_ = captures.repartitionByRange(tasks, "key", "page_id", "path", "at").sortWithinPartitions("key", "page_id", "path", "at")
     parts, _ = materialise(sorted_.mapInArrow(run, "first string, last string, name string"), "index-parts")
     # One row for each file of the index, so bounded by the number of range partitions.
     return CaptureIndex(folder, tuple(sorted((r["first"], r["last"], r["name"]) for r in parts.collect())))
@@ -261,7 +269,9 @@ def locate(index: CaptureIndex, keys: DataFrame) -> DataFrame:
                 cols = zip(*rows) if rows else ((),) * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["key", "page_id", "path", "at", "size"])
 
-    wanted = keys.select(F.col("key").cast("string").alias("key")).filter("key IS NOT NULL").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    wanted, _ = materialise(keys.select(F.col("key").cast("string").alias("key")).filter("key IS NOT NULL").distinct(), "wanted")
+    tasks = tasks_for(keys.sparkSession, wanted.count(), LINES_A_TASK, LINES_A_TASK // 100)
+    wanted = wanted.repartitionByRange(tasks, "key").sortWithinPartitions("key")
     asked = wanted.mapInArrow(search, "name string, at long, size long, keys array<string>")
     return asked.repartition("name", "at").mapInArrow(read, CAPTURE_SCHEMA)
 
@@ -276,7 +286,8 @@ def _page(urn: str | None) -> int | None:
 
 def read_records(captures: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records at the captures' byte ranges, read in archive order; ranges that adjoin
-    are fetched together, up to READ_AHEAD bytes. `payloads` False leaves out payloads
+    are fetched together, up to READ_AHEAD bytes. Tasks are as many as the ranges' bytes ask for, which
+    the captures' own size says nothing of; pass stored captures. `payloads` False leaves out payloads
     (they are still read and checked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,14 +321,15 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = True) -> Dat
         if file is not None:
             file.close()
 
-    ordered = captures.select("path", "at", "size").repartitionByRange("path", "at").sortWithinPartitions("path", "at")
+    tasks = tasks_for(captures.sparkSession, captures.agg(F.sum("size")).first()[0] or 0, BYTES_A_TASK, BYTES_A_TASK // 64)
+    ordered = captures.select("path", "at", "size").repartitionByRange(tasks, "path", "at").sortWithinPartitions("path", "at")
     return ordered.mapInArrow(run, RECORD_SCHEMA)
 
 
 def archive_and_read(pages: DataFrame, least: int = LEAST, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Writes all pages, indexes them, looks up every URL and returns what the archives hold."""
     spark: SparkSession = pages.sparkSession
-    folder = scratch_path(spark, "warc")
+    folder = scratch_path(spark, "lasting-warc")  # the records are read as the result is
     captures = write_archives(pages, folder, least)
     index = build_index(captures, folder, block_lines)
     found, _ = materialise(locate(index, pages.select(url_key(F.col("url").cast("string")).alias("key"))), "found")

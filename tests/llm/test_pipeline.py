@@ -16,7 +16,7 @@ WORDS = "stone river candle market winter letter garden engine copper signal".sp
 
 
 def slow_keep(rows):
-    """The rules of policy v1 from their definition."""
+    """The rules of policy v2 from their definition."""
     from test_rules import SPACE, slow
 
     out = []

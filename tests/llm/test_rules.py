@@ -42,7 +42,7 @@ def test_odd_rows(odd, empty):
     assert rules.ledger(empty).collect() == []
     kept = rules.keep(odd)
     assert kept.columns == odd.columns
-    passed = Counter(r.doc_id for r in rules.ledger(odd).filter(rules.passes("v1")).collect())
+    passed = Counter(r.doc_id for r in rules.ledger(odd).filter(rules.passes("v2")).collect())
     assert Counter(r.doc_id for r in kept.collect()) == passed
     assert rules.keep(empty).collect() == []
 
@@ -62,8 +62,17 @@ def test_ablation(documents, policy):
 
 def test_junk_goes_and_clean_stays(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = rules.ledger(docs).withColumn("kept", rules.passes("v1")).join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    got = rules.ledger(docs).withColumn("kept", rules.passes("v2")).join(labels, "doc_id").groupBy("quality", "kept").count().collect()
     n = {(r.quality, r.kept): r["count"] for r in got}
     assert n.get((0, False), 0) >= 0.9 * (n.get((0, False), 0) + n.get((0, True), 0))
-    long_enough = rules.ledger(docs).filter("n_words >= 20").withColumn("kept", rules.passes("v1")).join(labels, "doc_id").filter("quality = 1")
+    long_enough = rules.ledger(docs).filter("n_words >= 20").withColumn("kept", rules.passes("v2")).join(labels, "doc_id").filter("quality = 1")
     assert long_enough.filter("kept").count() >= 0.98 * long_enough.count()
+
+
+def test_bits_and_versions_are_permanent(spark):
+    """What a stored ledger's bits mean, and which rules each version enforces."""
+    assert [r.name for r in rules.RULES[:8]] == ["few_words", "repeated_windows", "symbol_share", "duplicate_lines", "upper_case", "long_words", "stutter", "half_duplicate_lines"]
+    assert {v: rules.mask(rules.POLICIES[v]) for v in ("base", "v1", "v2")} == {"base": 0b11, "v1": 0b111111, "v2": 0b11110111}
+    text = "\n".join(["a b c d e f g h i j k l m n o p q r s t"] + ["x y"] * 2 + ["z w"] * 2 + ["u v"])
+    (row,) = rules.ledger(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (row.n_lines, row.n_dup_lines, row.failed) == (6, 2, 0b1000)  # a third: fails v1, passes v2
