@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuswright.functions.binding import bind, in_any
+
 # Marks that count as separators, phrases that refuse an answer, number words.
 SEPARATORS = ".()[],:;!*#{}"
 REFUSALS = ("Sorry, I can't help with images of people yet.", "I can't process this file.", "I'm sorry, but without the image provided", "Cannot determine the answer")
@@ -121,10 +123,13 @@ def anls(prediction: Column, answer: Column, threshold: float = 0.5) -> Column:
 
 def bag_f1(prediction: Column, answer: Column) -> Column:
     """F1 of word membership (not counts)."""
-    p, a = words(F.lower(prediction)), words(F.lower(answer))
-    pr = F.size(F.filter(p, lambda w: F.array_contains(a, w))) / F.greatest(F.size(p), F.lit(1))
-    rc = F.size(F.filter(a, lambda w: F.array_contains(p, w))) / F.greatest(F.size(a), F.lit(1))
-    return F.when(pr + rc > 0, 2 * pr * rc / (pr + rc)).otherwise(0.0)
+
+    def score(b: Column) -> Column:
+        pr = F.size(in_any(b["p"], b["a"])) / F.greatest(F.size(b["p"]), F.lit(1))
+        rc = F.size(in_any(b["a"], b["p"])) / F.greatest(F.size(b["a"]), F.lit(1))
+        return bind(F.struct(pr.alias("pr"), rc.alias("rc")), lambda s: F.when(s["pr"] + s["rc"] > 0, 2 * s["pr"] * s["rc"] / (s["pr"] + s["rc"])).otherwise(0.0))
+
+    return bind(F.struct(words(F.lower(prediction)).alias("p"), words(F.lower(answer)).alias("a")), score)
 
 
 def simple_string(text: Column) -> Column:

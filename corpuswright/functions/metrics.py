@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuswright.functions.binding import runs_of
+
 
 def ngrams(tokens: Sequence, n: int) -> Counter:
     return Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
@@ -226,8 +228,7 @@ def cider_terms(rows: DataFrame, key: str, text: Column, n: int) -> DataFrame:
     """(key, gram, tf, idf weight): n-grams weighted by their inverse document frequency over
     all rows; two aggregations."""
     w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    grams = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
-    tf = rows.select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
+    tf = rows.select(key, F.explode(runs_of(w, n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
     total = rows.select(key).distinct().count()
     df = tf.groupBy("gram").agg(F.count("*").alias("df"))
     return tf.join(df, "gram").select(key, "gram", "tf", (F.col("tf") * F.log(F.lit(float(total)) / F.col("df"))).alias("weight"))

@@ -1,8 +1,9 @@
 """Order-dependent operators: packing, budgets, rotation, sampling, splitting, mixing.
 
 Draws are by a seeded hash of the key, so they give the same rows on every run and cluster,
-and exact counts come from ranks. A rank over a whole table is taken in two steps (ranks
-within hash ranges plus the ranges' offsets), never by a window without a partition.
+and exact counts come from ranks. Ranks and running sums, over a whole table or within groups of
+any size, are taken in two steps (within range partitions, plus the partitions' offsets), never by a
+window that holds a group.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswright.operators.grouped import by_runs
+from corpuswright.operators.storage import stored
 
 
 def draw(*keys: str | Column, seed: int = 42) -> Column:
@@ -20,20 +22,49 @@ def draw(*keys: str | Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k) if isinstance(k, str) else k for k in keys]))
 
 
-def rank_all(rows: DataFrame, order: Sequence[Column], name: str = "rank", bits: Column | None = None) -> DataFrame:
-    """Adds a gapless rank from 0 over the whole table in the given order.
+def prefix(rows: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (), value: Column | None = None, before: str = "before", total: str | None = None) -> DataFrame:
+    """Adds `before`, the sum of `value` (1 by default: a rank from 0) over the rows of the same `by`
+    that come earlier in the order, and `total`, their whole sum, if asked for.
 
-    `bits` is an ordered column that cuts the order into ranges (such as the first hex digits of
-    a draw): rows are ranked within a range in parallel, and the ranges' counts, a small
-    table, give the offsets. Without it the order's first column serves.
+    No group is brought into one task, whatever its size: rows are range-partitioned by group and
+    order and stored; sums are taken within a partition, and the sums of each group's partitions, one row
+    for each, give the offsets. `order` should end in a unique key; ties go either way.
     """
-    part = (bits if bits is not None else order[0]).alias("__part")
-    cut = rows.select("*", part)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut.groupBy("__part").count().select(F.col("__part").alias("__p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__part").orderBy(*order)
-    ranked = cut.withColumn("__k", F.row_number().over(inside) - 1).join(offsets, F.col("__part").eqNullSafe(F.col("__p")))
-    return ranked.withColumn(name, F.col("__k") + F.col("__before")).drop("__part", "__p", "__k", "__before")
+    at, part, amount = (_unused(rows, n) for n in ("__at", "__part", "__amount"))
+    keys = [*[F.col(b) for b in by], *[F.col(o) if isinstance(o, str) else o for o in order]]
+    laid = rows.withColumn(amount, (F.lit(1) if value is None else F.coalesce(value, F.lit(0))).cast("long"))
+    laid = laid.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    laid = stored(laid, "laid").withColumn(part, F.shiftright(at, 33))
+    sums = laid.groupBy(part, *by).agg(F.sum(amount).alias("__sum"))
+    if by:
+        earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sums.select(F.col(part).alias("__p"), *[F.col(b).alias(f"__by{k}") for k, b in enumerate(by)], F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"), F.sum("__sum").over(Window.partitionBy(*by)).alias("__whole"))
+    else:  # a row for each range partition
+        own, done, out = sorted((r[0], r[1]) for r in sums.collect()), 0, []
+        for p, n in own:
+            out.append((p, done))
+            done += n
+        offsets = rows.sparkSession.createDataFrame(out, "__p long, __offset long").withColumn("__whole", F.lit(done).cast("long"))
+        offsets = F.broadcast(offsets)
+    inside = Window.partitionBy(part, *by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    summed = laid.withColumn("__inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    met = F.col(part) == F.col("__p")
+    for k, b in enumerate(by):
+        met = met & F.col(b).eqNullSafe(F.col(f"__by{k}"))
+    more = [F.col("__whole").alias(total)] if total else []
+    return summed.join(offsets, met).select(*rows.columns, (F.col("__inside") + F.col("__offset")).alias(before), *more)
+
+
+def _unused(rows: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def rank_all(rows: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """Adds a gapless rank from 0 over the whole table in the given order."""
+    return prefix(rows, order, before=name)
 
 
 def sample_exact(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -42,26 +73,28 @@ def sample_exact(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame
     if total == 0:
         return rows.limit(0)
     times, rest = divmod(n, total)
-    drawn = rows.orderBy(draw(key, seed=seed), key).limit(rest)
+    drawn = rank_all(rows, [draw(key, seed=seed), key], "__rank").filter(F.col("__rank") < rest).drop("__rank")
     return drawn if not times else rows.withColumn("__t", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("__t").unionByName(drawn)
 
 
 def per_group(rows: DataFrame, by: str, order: Sequence[Column], n: int | Mapping[str, int], default: int | None = None) -> DataFrame:
-    """The first n rows of each group; with a mapping, groups it lacks have `default` or no cap."""
-    k = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    """The first n rows of each group; with a mapping, groups it lacks have `default` or no cap.
+    A small n is a top-k that Spark limits before the shuffle."""
+    if isinstance(n, int) and n <= 1000:
+        k = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+        return rows.withColumn("__k", k).filter(F.col("__k") <= n).drop("__k")
     if isinstance(n, int):
         cap: Column = F.lit(n)
     else:
         pairs = [x for g, c in n.items() for x in (F.lit(g), F.lit(c))]
-        cap = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(by)), F.lit(default if default is not None else 2**31 - 1))
-    return rows.withColumn("__k", k).filter(F.col("__k") <= cap).drop("__k")
+        cap = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(by)), F.lit(default if default is not None else 2**62))
+    return prefix(rows, order, [by], before="__k").filter(F.col("__k") < cap).drop("__k")
 
 
 def split_fraction(rows: DataFrame, by: str, key: str, share: float, seed: int = 42) -> DataFrame:
     """Adds `split`: the first floor(share * group) rows of each group by hash are test."""
-    w = Window.partitionBy(by)
-    k = F.row_number().over(w.orderBy(draw(key, seed=seed), key))
-    return rows.withColumn("split", F.when(k <= F.floor(F.count("*").over(w) * F.lit(share)), "test").otherwise("train"))
+    ranked = prefix(rows, [draw(key, seed=seed), key], [by], before="__k", total="__n")
+    return ranked.withColumn("split", F.when(F.col("__k") < F.floor(F.col("__n") * F.lit(share)), "test").otherwise("train")).drop("__k", "__n")
 
 
 def allocate(sizes: Mapping[str, int], share: float) -> dict[str, int]:
@@ -87,9 +120,9 @@ def stratified_split(rows: DataFrame, by: str, key: str, share: float, seed: int
     sizes = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
     quota = allocate({k: v for k, v in sizes.items() if k is not None}, share)
     pairs = [x for g, c in quota.items() for x in (F.lit(g), F.lit(c))]
-    k = F.row_number().over(Window.partitionBy(by).orderBy(draw(key, seed=seed), key))
     cap = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(by)), F.lit(0)) if pairs else F.lit(0)
-    return rows.withColumn("split", F.when(k <= cap, "test").otherwise("train"))
+    ranked = prefix(rows, [draw(key, seed=seed), key], [by], before="__k")
+    return ranked.withColumn("split", F.when(F.col("__k") < cap, "test").otherwise("train")).drop("__k")
 
 
 def interleave(sources: Sequence[DataFrame], key: str, stop: str = "first") -> DataFrame:
@@ -160,9 +193,8 @@ def knapsack_pack(rows: DataFrame, group: str, key: str, length: str, capacity:
 def block_pack(rows: DataFrame, by: str, order: str, length: Column, block: int) -> DataFrame:
     """Rows of a group laid end to end and cut into blocks: for each block a row reaches into,
     where it lies. The last, partial block is dropped."""
-    w = Window.partitionBy(by).orderBy(order)
-    laid = rows.withColumn("__n", length).withColumn("__end", F.sum("__n").over(w)).withColumn("__all", F.sum("__n").over(Window.partitionBy(by)))
-    laid = laid.filter("__n > 0").withColumn("__start", F.col("__end") - F.col("__n"))
+    laid = prefix(rows.withColumn("__n", length), [order], [by], F.col("__n"), "__start", "__all")
+    laid = laid.filter("__n > 0").withColumn("__end", F.col("__start") + F.col("__n"))
     first, last = F.floor(F.col("__start") / block), F.floor((F.col("__end") - 1) / block)
     each = laid.withColumn("block", F.explode(F.sequence(first, last))).filter((F.col("block") + 1) * block <= F.col("__all"))
     at = F.greatest(F.col("__start") - F.col("block") * block, F.lit(0))
@@ -177,9 +209,16 @@ def mismatch(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return rows.withColumn("other", F.coalesce(F.lag(value).over(w), F.last(value).over(whole)))
 
 
+def ema_last(values: Column, count: Column) -> Column:
+    """The last value of `ema`, without the array of all before it."""
+    weight = 1.8 * (1 / (1 + F.exp(-0.05 * count)) - 0.5)
+    new = lambda s, x: F.when(s.isNull(), x.cast("double")).otherwise(s * weight + x * (1 - weight))
+    return F.aggregate(values, F.lit(None).cast("double"), new)
+
+
 def ema(values: Column, count: Column) -> Column:
     """Exponential smoothing of an array, seeded with its first value; the weight grows with
-    the number of values."""
+    the number of values. The array grows by copies, so for short series."""
     weight = 1.8 * (1 / (1 + F.exp(-0.05 * count)) - 0.5)
     fold = F.aggregate(values, F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out")),
                        lambda s, x: _step(s, x, weight))
@@ -193,8 +232,9 @@ def _step(s: Column, x: Column, weight: Column) -> Column:
 
 def dedupe_names(rows: DataFrame, base: str, order: str) -> DataFrame:
     """Adds uid: the first of equal names stays plain, later ones get part of a hash."""
-    k = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return rows.withColumn("uid", F.when(k == 1, F.col(base)).otherwise(F.concat_ws("_", base, F.substring(F.sha1(F.concat_ws(":", base, F.col(order).cast("string"))), 1, 8))))
+    ranked = prefix(rows, [order], [base], before="__k")
+    later = F.concat_ws("_", base, F.substring(F.sha1(F.concat_ws(":", base, F.col(order).cast("string"))), 1, 8))
+    return ranked.withColumn("uid", F.when(F.col("__k") == 0, F.col(base)).otherwise(later)).drop("__k")
 
 
 def uniform_frames(total: Column, k: int) -> Column:

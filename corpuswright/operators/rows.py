@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuswright.functions.binding import bind
+
 
 def turns_of(*pairs: tuple[str, Column]) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("from"), c.alias("value")) for r, c in pairs])
@@ -82,13 +84,19 @@ def pack_paragraphs(parts: Column, longest: int, joint: int = 2) -> Column:
 def split_at_middle(text: Column) -> Column:
     """Two parts at the newline nearest the middle, the first of equals; at the middle
     where there is no newline."""
+    # The nearest newline is the last of the first half or the first of the second.
     n = F.length(text)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(1)) == "\n")
-    best = F.array_min(F.transform(places, lambda i: F.struct(F.abs(i * 2 - n).alias("d"), i.alias("i"))))["i"]
     half = F.floor(n / 2).cast("int")
-    first = F.when(best.isNotNull(), F.substring(text, F.lit(1), best - 1)).otherwise(F.substring(text, F.lit(1), half))
-    second = F.when(best.isNotNull(), F.substring(text, best + 1, n)).otherwise(F.substring(text, half + 1, n))
-    return F.array(first, second)
+    back = F.locate("\n", F.reverse(F.substring(text, F.lit(1), half)))
+    left = F.when(back > 0, half - back + 1)
+    right = F.nullif(F.call_function("locate", F.lit("\n"), text, half + 1), F.lit(0))
+
+    def cut(b: Column) -> Column:
+        return F.array(F.substring(b["t"], F.lit(1), b["end"]), F.substring(b["t"], b["next"], b["n"]))
+
+    best = F.when(right.isNull() | (F.abs(left * 2 - n) <= F.abs(right * 2 - n)), left).otherwise(right)
+    place = bind(best, lambda at: F.struct(text.alias("t"), n.alias("n"), F.coalesce(at - 1, half).alias("end"), (F.coalesce(at, half) + 1).alias("next")))
+    return bind(place, cut)
 
 
 def rescale_boxes(text: Column, sx: Column, sy: Column) -> Column:
@@ -120,12 +128,14 @@ def multiple_choice(right: Column, wrong: Column, *keys: Column) -> Column:
 
 
 def few_shot(rows: DataFrame, pool: DataFrame, by: str, key: str, text: str, n: int) -> DataFrame:
-    """Each row with the first n pool texts of its group by hash. The pool is ranked within a
-    group once; a row takes the group's list, not a sample of its own."""
+    """Each row with the first n pool texts of its group by hash, its own left out. The pool is
+    ranked within a group once, and only its first n + 1 go on; a row takes the group's
+    list, not a sample of its own."""
     k = F.row_number().over(Window.partitionBy(by).orderBy(F.md5(F.col(key).cast("string")), key))
-    ranked = pool.withColumn("__k", k).filter(F.col("__k") <= n)
-    shots = ranked.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("__k", text))), lambda x: x[text]).alias("shots"))
-    return rows.join(shots, by, "left")
+    ranked = pool.withColumn("__k", k).filter(F.col("__k") <= n + 1)
+    shots = ranked.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("__k", F.col(key).alias("id"), F.col(text).alias("t")))).alias("__shots"))
+    others = F.filter("__shots", lambda x: ~x["id"].eqNullSafe(F.col(key)))
+    return rows.join(shots, by, "left").withColumn("shots", F.transform(F.slice(others, 1, n), lambda x: x["t"])).drop("__shots")
 
 
 def dual_order(rows: DataFrame, verdict: Column, swapped: Column) -> Column:
@@ -161,8 +171,10 @@ def caption_sections(text: Column, heading: str = r"([A-Za-z ]+): (\[[^\]]*\])")
     """Sections `Name: [..]` of a caption as a map; of equal names the last wins."""
     found = F.regexp_extract_all(text, F.lit(heading), F.lit(0))
     entries = F.transform(found, lambda m: F.struct(F.trim(F.regexp_extract(m, heading, 1)).alias("k"), F.regexp_extract(m, heading, 2).alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
-    return F.map_from_entries(last)
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v"))))
+    # Sorted by name and place, an entry is the last of its name if the next has another.
+    last = bind(placed, lambda p: F.filter(p, lambda e, i: ~F.coalesce(F.get(p, i + 1)["k"] == e["k"], F.lit(False))))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
 
 
 def case_sections(text: Column, start: str = r"(?m)^# CASE", stop: str = r"(?m)^# Reference") -> Column:

@@ -42,12 +42,13 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Conversations with holes, as the raw table alternates without a break.
-BROKEN = "broken AS (SELECT * FROM conversations WHERE (conv_id + turn) % 5 <> 3)"
+#: All conversations with some roles swapped, as the raw table alternates without a break.
+BROKEN = "broken AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 5 <> 3 OR role = 'system' THEN role WHEN role = 'user' THEN 'assistant' ELSE 'user' END AS role, text FROM conversations)"
 
 
 def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").filter((F.col("conv_id") + F.col("turn")) % 5 != 3)
+    swapped = F.when(((F.col("conv_id") + F.col("turn")) % 5 != 3) | (F.col("role") == "system"), F.col("role")).when(F.col("role") == "user", "assistant").otherwise("user")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", swapped.alias("role"), "text")
 
 
 #: Intervals in epoch seconds made of events.

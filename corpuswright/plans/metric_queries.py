@@ -56,11 +56,10 @@ def instruction_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(f"""WITH {PRED}, m AS (SELECT lang, source, count(*) AS n, sum(hit) AS h FROM pred GROUP BY ALL), a AS (SELECT source, max(n) FILTER (lang = 'en') AS en, max(h) FILTER (lang = 'en') AS hen, max(n) FILTER (lang = 'fr') AS fr, max(h) FILTER (lang = 'fr') AS hfr FROM m GROUP BY source)
- SELECT source, CASE WHEN en = hen THEN 1.0::DOUBLE ELSE 0 END AS en_all, greatest(0, 1 - abs(CAST(hen AS DOUBLE) - en) / abs(CAST(en AS DOUBLE))) AS closeness FROM a WHERE en IS NOT NULL""")
+@register(f"""WITH {PRED} SELECT lang, source, CASE WHEN count(*) = sum(hit) THEN 1.0::DOUBLE ELSE 0 END AS all_right, greatest(0, 1 - abs(CAST(sum(hit) AS DOUBLE) - count(*)) / count(*)) AS closeness FROM pred GROUP BY ALL""")
 def numeric_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = pred(spark, sf_dir).filter("lang = 'en'").groupBy("source").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
-    return m.select("source", F.when(F.col("n") == F.col("h"), 1.0).otherwise(0.0).alias("en_all"), A.relative_closeness(F.col("h").cast("double"), F.col("n").cast("double")).alias("closeness"))
+    m = pred(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
+    return m.select("lang", "source", F.when(F.col("n") == F.col("h"), 1.0).otherwise(0.0).alias("all_right"), A.relative_closeness(F.col("h").cast("double"), F.col("n").cast("double")).alias("closeness"))
 
 
 @register(f"""WITH {PRED}, k AS (SELECT source, map_from_entries(list((lang, CAST(n AS VARCHAR)))) AS p, map_from_entries(list((lang, CAST(CASE WHEN lang = 'fr' THEN n + 1 ELSE n END AS VARCHAR)))) AS t, count(*) AS keys, count_if(lang <> 'fr') AS same FROM (SELECT source, lang, count(*) AS n FROM pred GROUP BY ALL) GROUP BY source)

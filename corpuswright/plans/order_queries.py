@@ -10,11 +10,11 @@ from corpuswright.plans.catalogue import register
 from corpuswright.plans.frames import PRED, pred, table
 
 
-@register(f"""WITH {PRED} SELECT p.doc_id, p.category, p.hit, 'label' AS basis FROM pred p WHERE doc_id % 3 <> 0""")
+@register("""SELECT d.doc_id, d.source || ',' || d.lang AS category, l.quality AS hit, 'label' AS basis FROM documents d JOIN labels l USING (doc_id)""")
 def prediction_answer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions met with the answer key; keys that are absent drop out."""
-    rows = pred(spark, sf_dir)
-    key = rows.filter("doc_id % 3 <> 0").select("doc_id", F.lit("label").alias("basis"))
+    """All documents met with the answer key; documents without a label drop out."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(",", "source", "lang").alias("category"))
+    key = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("hit"), F.lit("label").alias("basis"))
     return rows.join(key, "doc_id").select("doc_id", "category", "hit", "basis")
 
 
@@ -56,11 +56,12 @@ def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@register("""WITH a AS (SELECT source AS path, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL), b AS (SELECT source AS path, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY ALL)
+@register("""WITH a AS (SELECT source AS path, count(*) AS n FROM documents GROUP BY ALL), b AS (SELECT source AS path, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL)
  SELECT coalesce(a.path, b.path) AS path, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS only_left, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS only_right FROM a FULL JOIN b ON a.path = b.path""")
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the labelled documents lack of all documents, by source."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"))
-    return O.multiset_diff(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), ["path"])
+    return O.multiset_diff(d, d.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi"), ["path"])
 
 
 @register("""WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
@@ -100,9 +101,9 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1 AS rank FROM documents")
 def hash_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A full shuffle: every row's rank in hash order, ranked in parallel by hash prefix."""
+    """A full shuffle: every row's rank in hash order, ranked in parallel by hash range."""
     d = table(spark, sf_dir, "documents").select("doc_id").withColumn("h", O.draw("doc_id", seed=7))
-    return O.rank_all(d, [F.col("h"), F.col("doc_id")], bits=F.substring("h", 1, 2)).select("doc_id", "rank")
+    return O.rank_all(d, ["h", "doc_id"]).select("doc_id", "rank")
 
 
 @register("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, k % 4 AS stride, CAST(floor(k / (n / 4)) AS BIGINT) AS part FROM r".replace("CAST(floor(k / (n / 4)) AS BIGINT)", "ntile(4) OVER (ORDER BY doc_id)"))
@@ -111,24 +112,27 @@ def shard_ntile(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id")
     n = d.count()
     small, more = divmod(n, 4)
-    r = O.rank_all(d, [F.col("doc_id")], "k", bits=F.floor(F.col("doc_id") / 256))
+    r = O.rank_all(d, ["doc_id"], "k")
     part = F.when(F.col("k") < more * (small + 1), F.floor(F.col("k") / (small + 1))).otherwise(more + F.floor((F.col("k") - more * (small + 1)) / max(small, 1)))
     return r.select("doc_id", (F.col("k") % 4).alias("stride"), (part + 1).cast("long").alias("part"))
 
 
-@register("""WITH x AS (SELECT n_nationkey AS key, n_name AS name, 0 AS source, row_number() OVER (ORDER BY n_nationkey) - 1 AS turn FROM nation UNION ALL SELECT r_regionkey, r_name, 1, row_number() OVER (ORDER BY r_regionkey) - 1 FROM region) SELECT * FROM x WHERE turn < 5""")
+_A, _B = "SELECT o_orderkey AS key, o_orderpriority AS name, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders", "SELECT c_custkey AS key, c_name AS name, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM customer"
+
+
+def _two(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("name"))
+    return [a, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))]
+
+
+@register(f"WITH a AS ({_A}), b AS ({_B}), x AS (SELECT key, name, 0 AS source, k AS turn FROM a UNION ALL SELECT key, name, 1, k FROM b) SELECT * FROM x WHERE turn < (SELECT least((SELECT count(*) FROM a), (SELECT count(*) FROM b)))")
 def mix_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
-    b = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
-    return O.interleave([a, b], "key")
+    return O.interleave(_two(spark, sf_dir), "key")
 
 
-@register("""WITH b AS (SELECT r_regionkey AS key, r_name AS name, row_number() OVER (ORDER BY r_regionkey) - 1 AS k FROM region)
- SELECT n_nationkey AS key, n_name AS name, 0 AS source, row_number() OVER (ORDER BY n_nationkey) - 1 AS turn FROM nation UNION ALL SELECT key, name, 1, k + 5 * t FROM b, range(5) r(t) WHERE k + 5 * t < 25""")
+@register(f"WITH a AS ({_A}), b AS ({_B}), n AS (SELECT (SELECT count(*) FROM a) AS a, (SELECT count(*) FROM b) AS b) SELECT key, name, 0 AS source, k AS turn FROM a UNION ALL SELECT key, name, 1, k + t * n.b FROM b, n, (SELECT unnest(range(0, 1000)) AS t) WHERE k + t * n.b < n.a")
 def mix_interleave_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
-    b = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
-    return O.interleave([a, b], "key", stop="all")
+    return O.interleave(_two(spark, sf_dir), "key", stop="all")
 
 
 @register("SELECT 'customer' AS origin, c_name AS name, c_acctbal AS bal, CAST(NULL AS BIGINT) AS n_size FROM customer UNION ALL SELECT 'supplier', s_name, s_acctbal, NULL FROM supplier UNION ALL SELECT 'part', p_name, p_retailprice, p_size FROM part")
@@ -188,7 +192,7 @@ def prioritised_union(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT user_id, round(list_reduce(v, lambda a, b: a * w + b * (1 - w)), 6) AS smoothed FROM w""")
 def ema_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("v"), F.count("*").alias("n"))
-    return v.select("user_id", F.round(F.element_at(O.ema(F.col("v"), F.col("n")), -1), 6).alias("smoothed"))
+    return v.select("user_id", F.round(O.ema_last(F.col("v"), F.col("n")), 6).alias("smoothed"))
 
 
 @register("SELECT o_custkey, list_sort(list_distinct(list(o_orderpriority)))[1] AS first, len(list_distinct(list(o_orderstatus))) AS kinds FROM orders GROUP BY ALL")

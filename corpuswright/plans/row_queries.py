@@ -39,7 +39,7 @@ def keyword_filter_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuswright.operators.ordering import rank_all
 
     kept = pred(spark, sf_dir).filter(R.any_keyword(F.col("category"), ["src1", "fr"]) & R.lacks(F.col("source"), "SRC11")).select("doc_id")
-    return rank_all(kept, [F.col("doc_id")], "idx", bits=F.floor(F.col("doc_id") / 1024)).select((F.col("idx") + 1).alias("idx"), "doc_id")
+    return rank_all(kept, ["doc_id"], "idx").select((F.col("idx") + 1).alias("idx"), "doc_id")
 
 
 @register("SELECT CASE source WHEN 'src1' THEN 'one' WHEN 'src2' THEN 'two' ELSE source END AS category, replace(CASE WHEN contains(lang, 'e') THEN lang || ' and jaw,x' ELSE lang END, 'jaw,', '') AS tag, count(*) AS n FROM documents GROUP BY ALL")
@@ -113,12 +113,14 @@ def count_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", m.alias("m")).select("o_orderkey", F.array_join(F.col("m.options").cast("array<string>"), ",").alias("options"), F.col("m.answer").alias("answer"))
 
 
-@register("""WITH k AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents WHERE doc_id % 10 = 0), s AS (SELECT lang, string_agg(source, '|' ORDER BY k) AS shots FROM k WHERE k <= 3 GROUP BY lang)
- SELECT doc_id, coalesce(shots, '') || '|' || source AS prompt FROM documents LEFT JOIN s USING (lang) WHERE doc_id % 10 = 1""")
+@register("""WITH k AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents),
+ s AS (SELECT d.doc_id, string_agg(k.source, '|' ORDER BY k.k) AS shots FROM documents d JOIN k ON k.lang = d.lang AND k.doc_id <> d.doc_id AND k.k <= 4
+  AND k.k <= 3 + (SELECT count(*) FROM k o WHERE o.doc_id = d.doc_id AND o.k <= 3) GROUP BY d.doc_id)
+ SELECT doc_id, coalesce(shots, '') || '|' || source AS prompt FROM documents LEFT JOIN s USING (doc_id)""")
 def few_shot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Support rows in front of the target (roles by the id's last digit)."""
+    """Every document with three others of its language in front, drawn from the whole table."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    got = R.few_shot(d.filter("doc_id % 10 = 1"), d.filter("doc_id % 10 = 0"), "lang", "doc_id", "source", 3)
+    got = R.few_shot(d, d, "lang", "doc_id", "source", 3)
     return got.select("doc_id", F.concat(F.array_join(F.coalesce("shots", F.array()), "|"), F.lit("|"), "source").alias("prompt"))
 
 

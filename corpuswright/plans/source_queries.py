@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuswright.operators.storage import new_path
 from corpuswright.plans.catalogue import register
 from corpuswright.plans.frames import table
 from corpuswright.sources import files, registry
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one on a local master without it."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = "file://" + tempfile.mkdtemp(prefix="corpuswright-")
-    return f"{root.rstrip('/')}/corpuswright/{tag}-{uuid.uuid4().hex}"
-
-
 _ROUND = "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer"
 
 
 def _round(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    path = f"{scratch(spark, 'round')}.{kind}"
+    path = f"{new_path(spark, 'round')}.{kind}"
     files.write(rows, path, kind)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     return files.read(spark, path, "jsonl" if kind == "json" else kind, None if kind in ("parquet", "orc") else schema)
@@ -43,7 +30,7 @@ for _kind in ("parquet", "orc", "json", "csv", "tsv"):
 def sink_round_trip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with newlines escaped to one line each, with their id in front."""
     b = table(spark, sf_dir, "benchmark").select(F.concat_ws("\t", "item_id", F.replace("text", F.lit("\n"), F.lit("\\n"))).alias("value"))
-    path = scratch(spark, "lines") + ".txt"
+    path = new_path(spark, "lines") + ".txt"
     files.write(b, path)
     back = files.read(spark, path)
     return back.select(F.substring_index("value", "\t", 1).cast("long").alias("item_id"), F.replace(F.expr("substring(value, instr(value, '\t') + 1)"), F.lit("\\n"), F.lit("\n")).alias("value"))
@@ -67,10 +54,10 @@ def yolo_label_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select(F.col("l_orderkey").alias("image_id"), F.explode(files.yolo_lines(F.col("t"))).alias("y")).select("image_id", "y.label", "y.cx", "y.w")
 
 
-@register("SELECT n_nationkey, n_name AS key, 'region ' || n_regionkey AS value FROM nation")
+@register("SELECT o_orderkey, o_orderpriority AS key, 'customer ' || o_custkey AS value FROM orders")
 def key_value_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = F.array(F.lit(None), F.lit("  "), F.col("n_name"), F.concat(F.lit(": region   "), "n_regionkey"), F.lit(" ;"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", files.key_value(cells).alias("kv")).select("n_nationkey", "kv.key", "kv.value")
+    cells = F.array(F.lit(None), F.lit("  "), F.col("o_orderpriority"), F.concat(F.lit(": customer   "), "o_custkey"), F.lit(" ;"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", files.key_value(cells).alias("kv")).select("o_orderkey", "kv.key", "kv.value")
 
 
 @register("SELECT conv_id, CAST(count(*) AS INTEGER) AS turns, max(CASE WHEN role = 'assistant' THEN turn END) IS NOT NULL AS replied FROM conversations WHERE role <> 'system' GROUP BY conv_id")
@@ -88,17 +75,17 @@ def benchmark_image_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.image_aliases(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), image.alias("image")), "idx", "image")
 
 
-@register("SELECT row_number() OVER (ORDER BY d, original_index) - 1 AS idx, d AS \"SUB_DATASET\", original_index, name FROM (SELECT 'nation' AS d, n_nationkey AS original_index, n_name AS name FROM nation UNION ALL SELECT 'region', r_regionkey, r_name FROM region)")
+@register("SELECT row_number() OVER (ORDER BY d, original_index) - 1 AS idx, d AS \"SUB_DATASET\", original_index, name FROM (SELECT 'customer' AS d, c_custkey AS original_index, c_name AS name FROM customer UNION ALL SELECT 'orders', o_orderkey, o_orderpriority FROM orders)")
 def composite_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("idx"), F.col("n_name").alias("name"))
-    b = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("idx"), F.col("r_name").alias("name"))
-    return files.composite({"nation": a, "region": b}, "idx").select("idx", "SUB_DATASET", "original_index", "name")
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_name").alias("name"))
+    b = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_orderpriority").alias("name"))
+    return files.composite({"customer": a, "orders": b}, "idx").select("idx", "SUB_DATASET", "original_index", "name")
 
 
-@register("SELECT n_nationkey AS idx, n_name AS name FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY r_name), r_name FROM region")
+@register("SELECT o_orderkey AS idx, o_orderpriority AS name FROM orders UNION ALL SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY c_name), c_name FROM customer")
 def append_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("idx"), F.col("n_name").alias("name"))
-    return files.append_rows(a, table(spark, sf_dir, "region").select(F.col("r_name").alias("name")), "idx", "name")
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_orderpriority").alias("name"))
+    return files.append_rows(a, table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")), "idx", "name")
 
 
 @register("SELECT o_custkey, max(o_orderdate) AS run, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS path FROM orders GROUP BY o_custkey")
@@ -107,8 +94,8 @@ def previous_run_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_custkey", F.col("m.o_orderdate").alias("run"), F.col("m.o_orderkey").alias("path"))
 
 
-@register("SELECT json_extract_string(props, '$.' || k) AS v, count(*) AS n FROM events, (SELECT json_keys(props)[1] AS k FROM events LIMIT 1) GROUP BY ALL")
+@register("WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) SELECT k AS name, json_extract_string(props, '$.' || k) AS v, count(*) AS n FROM k GROUP BY ALL")
 def json_payload_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    key = e.select(F.json_object_keys("props")[0]).first()[0]
-    return e.groupBy(F.get_json_object("props", f"$.{key}").alias("v")).agg(F.count("*").alias("n"))
+    """Every key of every payload with its values' counts."""
+    values = F.from_json("props", "map<string,string>")
+    return table(spark, sf_dir, "events").select(F.explode(values).alias("name", "v")).groupBy("name", "v").agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuswright.plans.catalogue import register
 from corpuswright.plans.frames import table
-from corpuswright.plans.source_queries import scratch
+from corpuswright.operators.storage import new_path
 from corpuswright.streaming import jobs
 
 
@@ -22,31 +22,31 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @register("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jobs.windowed_counts(_stream(spark, sf_dir, "events"), "ts", ["event_type"], "value")
-    got = jobs.run_to_table(out, f"windows_{uuid.uuid4().hex}", scratch(spark, "stream"), mode="complete")
+    got = jobs.run_to_table(out, f"windows_{uuid.uuid4().hex}", new_path(spark, "stream"), mode="complete")
     return got.withColumn("total", F.round("total", 4))
 
 
 @register("""WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l)
  SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_to_table(jobs.sessions(_stream(spark, sf_dir, "events"), "ts", "user_id"), f"sessions_{uuid.uuid4().hex}", scratch(spark, "stream"), mode="complete")
+    return jobs.run_to_table(jobs.sessions(_stream(spark, sf_dir, "events"), "ts", "user_id"), f"sessions_{uuid.uuid4().hex}", new_path(spark, "stream"), mode="complete")
 
 
 @register("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def stream_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stream(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.struct("ts", "event_id").alias("o"))
-    return jobs.upsert_batches(s, scratch(spark, "upsert"), "user_id", scratch(spark, "stream"), "o").select("user_id", "ts", "event_id")
+    return jobs.upsert_batches(s, new_path(spark, "upsert"), "user_id", new_path(spark, "stream"), "o").select("user_id", "ts", "event_id")
 
 
 @register("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_filter_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stateless stream through the exactly-once file sink, then a batch count."""
     s = jobs.hash_split(_stream(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 10)
-    return jobs.run_to_parquet(s, scratch(spark, "sink"), scratch(spark, "stream")).groupBy("event_type").agg(F.count("*").alias("n"))
+    return jobs.run_to_parquet(s, new_path(spark, "sink"), new_path(spark, "stream")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @register("SELECT conv_id, turn, row_number() OVER w - 1 AS earlier, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS earlier_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def stream_conversation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State by conversation: what each turn has before it."""
     s = _stream(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return jobs.run_to_table(jobs.conversation_state(s, "conv_id", "turn", "text"), f"state_{uuid.uuid4().hex}", scratch(spark, "stream"))
+    return jobs.run_to_table(jobs.conversation_state(s, "conv_id", "turn", "text"), f"state_{uuid.uuid4().hex}", new_path(spark, "stream"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswright.functions import answers as A
+from corpuswright.functions.binding import runs_of
+from corpuswright.operators.storage import stored
 from corpuswright.plans.catalogue import register
 from corpuswright.plans.frames import PRED, pred, table
 
@@ -116,14 +118,16 @@ def html_strip_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
  dg AS (SELECT DISTINCT doc_id, array_to_string(w[p:p+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM w)), ig AS (SELECT DISTINCT item_id, array_to_string(w[p:p+4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i))
  SELECT item_id, count(DISTINCT doc_id) AS docs, count(*) AS shared FROM dg JOIN ig USING (g) GROUP BY item_id""")
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared five-word sequences of documents and benchmark items."""
+    """Shared five-word sequences of documents and benchmark items. The items' sequences are sent to the
+    documents if they are few, so that only shared ones are shuffled."""
 
     def grams(t: DataFrame, key: str) -> DataFrame:
-        w = A.words(F.lower("text"))
-        each = F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda p: F.array_join(F.slice(w, p, F.lit(5)), " ")))
-        return t.select(key, F.explode(each).alias("g")).distinct()
+        return t.select(key, F.explode(F.array_distinct(runs_of(A.words(F.lower("text")), 5))).alias("g"))
 
-    met = grams(table(spark, sf_dir, "documents"), "doc_id").join(grams(table(spark, sf_dir, "benchmark"), "item_id"), "g")
+    items = stored(grams(table(spark, sf_dir, "benchmark"), "item_id"), "item-grams")
+    wanted = items.select("g").distinct()
+    wanted = F.broadcast(wanted) if items.count() <= 1_000_000 else wanted
+    met = grams(table(spark, sf_dir, "documents"), "doc_id").join(wanted, "g", "left_semi").join(items, "g")
     return met.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("shared"))
 
 

@@ -112,7 +112,7 @@ def composite(parts: dict[str, DataFrame], index: str) -> DataFrame:
 
     out, base = None, 0
     for name in sorted(parts):
-        p = rank_all(parts[name].withColumnRenamed(index, "original_index"), [F.col("original_index")], index).withColumn(index, F.col(index) + F.lit(base)).withColumn("SUB_DATASET", F.lit(name))
+        p = rank_all(parts[name].withColumnRenamed(index, "original_index"), ["original_index"], index).withColumn(index, F.col(index) + F.lit(base)).withColumn("SUB_DATASET", F.lit(name))
         base += parts[name].count()
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     assert out is not None
@@ -124,7 +124,7 @@ def append_rows(old: DataFrame, new: DataFrame, index: str, order: str) -> DataF
     from corpuswright.operators.ordering import rank_all
 
     top = old.agg(F.coalesce(F.max(index), F.lit(0))).first()[0]
-    numbered = rank_all(new, [F.col(order)], index).withColumn(index, F.col(index) + F.lit(top + 1))
+    numbered = rank_all(new, [order], index).withColumn(index, F.col(index) + F.lit(top + 1))
     return old.unionByName(numbered, allowMissingColumns=True)
 
 
@@ -138,4 +138,4 @@ def flatten_json(rows: DataFrame, column: str, element: str) -> DataFrame:
 def line_range(rows: DataFrame, order: str, first: int, last: int) -> DataFrame:
     from corpuswright.operators.ordering import rank_all
 
-    return rank_all(rows, [F.col(order)], "line").filter(F.col("line").between(first, last))
+    return rank_all(rows, [order], "line").filter(F.col("line").between(first, last))

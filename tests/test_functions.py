@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,11 @@ from corpuswright.functions import answers as A
 from corpuswright.functions import conversation as C
 from corpuswright.functions import geometry as G
 from corpuswright.functions import metrics as M
+from corpuswright.functions.binding import runs_of
 from corpuswright.operators import ordering as O
+from corpuswright.operators import rows as R
 from corpuswright.operators import spatial as S
+from corpuswright.plans import catalogue
 from corpuswright.sources import files, registry
 from corpuswright.streaming import jobs
 
@@ -174,3 +178,65 @@ def test_stream_arguments():
         jobs.check_arguments(mask_history=True, train_on_prompt=True)
     with pytest.raises(ValueError):
         jobs.check_arguments(probabilities=[0.5], sources=2)
+
+
+LONG = 50_000
+
+
+def timed(df, limit=60):
+    began = time.time()
+    got = df.collect()
+    assert time.time() - began < limit
+    return got
+
+
+def test_long_texts_take_linear_time(spark):
+    """One text of 50,000 words through each expression that names an array more than once."""
+    words = [f"w{k % 30_000}" for k in range(LONG)]
+    text, other = " ".join(words), " ".join(f"w{k}" for k in range(20_000, 20_000 + LONG))
+    row = spark.createDataFrame([(1, text, other)], "id long, a string, b string")
+    common = set(words) & set(other.split())
+    p, r = sum(w in common for w in words) / LONG, sum(w in common for w in other.split()) / LONG
+    (got,) = timed(row.select(A.bag_f1(F.col("a"), F.col("b")).alias("f")))
+    assert abs(got.f - 2 * p * r / (p + r)) < 1e-12
+    assert len(timed(row.select(F.explode(runs_of(A.words(F.col("a")), 5))))) == LONG - 4
+    assert len(timed(M.cider_terms(row, "id", F.col("a"), 2))) == 30_000
+    lines = "\n".join(words)
+    (got,) = timed(spark.createDataFrame([(lines,)], "t string").select(R.split_at_middle(F.col("t")).alias("s")))
+    n, places = len(lines), [k + 1 for k, c in enumerate(lines) if c == "\n"]
+    at = min(places, key=lambda i: (abs(2 * i - n), i))
+    assert got.s == [lines[: at - 1], lines[at:]]
+    caption = " ".join(f"Name {'abcdefghij'[k % 10]}{'xyz'[k % 3]}: [{k}]" for k in range(LONG))
+    (got,) = timed(spark.createDataFrame([(caption,)], "t string").select(R.caption_sections(F.col("t")).alias("m")))
+    assert len(got.m) == 30 and got.m["Name ax"] == f"[{max(k for k in range(LONG) if k % 10 == 0 and k % 3 == 0)}]"
+
+
+@pytest.mark.parametrize("text", ["", "a", "\n", "ab\ncd", "a\nbcdef\ng", "abcdef", "a\n\n\nb", "\nabc", "abc\n"])
+def test_split_at_middle(spark, text):
+    (got,) = spark.createDataFrame([(text,)], "t string").select(R.split_at_middle(F.col("t")).alias("s")).collect()
+    places = [k + 1 for k, c in enumerate(text) if c == "\n"]
+    if places:
+        at = min(places, key=lambda i: (abs(2 * i - len(text)), i))
+        assert got.s == [text[: at - 1], text[at:]]
+    else:
+        assert got.s == [text[: len(text) // 2], text[len(text) // 2 :]]
+
+
+def test_prefix_sums_of_any_group(spark):
+    """Running sums within groups that span many partitions, null groups included, and no window
+    that lacks a partition."""
+    rows = spark.range(4000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else concat('g', id % 50) end g", "id % 11 v", "1 __at")
+    got = O.prefix(rows.repartition(5), ["id"], ["g"], F.col("v"), "before", "total")
+    assert got.columns == [*rows.columns, "before", "total"]
+    sums = {}
+    for r in sorted(got.collect(), key=lambda r: r.id):
+        assert r.before == sums.get(r.g, 0)
+        sums[r.g] = r.before + r.v
+    assert {r.g: r.total for r in got.collect()} == sums
+    ranks = O.rank_all(rows, ["v", "id"], "k")
+    assert [(r.v, r.id) for r in sorted(ranks.collect(), key=lambda r: r.k)] == sorted((r.v, r.id) for r in rows.collect())
+    assert sorted(r.k for r in ranks.collect()) == list(range(4000))
+    assert O.rank_all(rows.limit(0), ["id"]).collect() == []
+    for name in ("hash_shuffle", "shard_ntile", "mix_interleave", "fraction_split", "uid_deduplication", "block_packing", "composite_benchmark", "append_to_table"):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan, name
