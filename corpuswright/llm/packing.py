@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -36,7 +35,9 @@ END_ID = 1
 # The whole vocabulary of the fast path: printable ASCII and the Latin-1 letters, digits
 # and signs. Words with anything else are given to the tokenizer as they are.
 _PLAIN = re.compile(r"[!-~\xa1-\xff]+")
-_MARKS = frozenset(".,;:!?")
+_LETTER, _MARK, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_LETTER[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = _MARK[[*b".,;:!?"]] = True
+_LOWER[65:91] += 32
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
@@ -46,13 +47,11 @@ class TokenCache:
     The tokenizer drops white space and no token crosses it, so a text's ids are those of
     its words one after another. A plain word is cut into the parts the tokenizer would
     cut it into; each distinct part is encoded once per process by the tokenizer's own model.
-    A known word with a mark behind it is that word's ids and the mark's, if the tokenizer sees letters
-    only before the mark: combining marks, which composing or lowering a letter may leave, join it.
     Other words are encoded whole by the tokenizer itself. `limit` bounds the memory: beyond
     it only what was met most often stays, half as much at most.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         # Tasks are what runs in parallel: threads of the tokenizer's own would only add memory.
@@ -115,9 +114,7 @@ class TokenCache:
         odd: list[str] = []
         for k in [k for k, i in enumerate(found) if i is None]:
             w = words[k]
-            if w[-1:] in _MARKS and get(w[:-1]) is not None and unicodedata.normalize("NFC", w[:-1]).lower().isalpha():
-                composed[k] = [w[:-1], w[-1]]
-            elif "<|" in w or not _PLAIN.fullmatch(w):
+            if "<|" in w or not _PLAIN.fullmatch(w):
                 odd.append(w)
             else:
                 composed[k] = _PIECES.findall(w.lower())
@@ -144,20 +141,26 @@ class TokenCache:
         n = len(texts)
         at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int32)
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-        # ASCII letters may be lowered first where no combining mark can follow them and no
-        # special token is spelled out; this only saves work on words that differ in case.
-        if len(raw) and raw.max() < 0xCC and b"<|" not in raw.tobytes():
-            texts = pc.ascii_lower(texts)
+        if b"<|" not in raw.tobytes():  # no special token is spelled out
+            # ASCII letters may be lowered first where no combining mark can follow them; this only
+            # saves work on words that differ in case. A token ends between an ASCII letter and
+            # one of these marks, so a blank there changes no id and leaves fewer distinct words.
+            if len(raw) and raw.max() < 0xCC:
+                raw = _LOWER[raw]
+            cuts = np.nonzero(_LETTER[raw[:-1]] & _MARK[raw[1:]])[0] + 1
+            offsets = at - at[0]
+            texts = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer((offsets + np.searchsorted(cuts, offsets)).astype(np.int32)), pa.py_buffer(np.insert(raw, cuts, 32))])
         words = pc.ascii_split_whitespace(texts)
-        counts = np.diff(words.offsets.to_numpy())
+        bounds = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
         flat, sizes = self.encode_words(coded.dictionary.to_pylist())
+        # The end id is one more word, behind each text's last.
+        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes), [len(flat) + 1])).astype(np.int32), pa.array(np.append(flat, np.uint32(end_id))))
         word = coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int32)
-        lens = sizes[word]
-        ids = flat[ragged((np.cumsum(sizes) - sizes)[word], lens)]
-        before = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))[np.cumsum(counts)]  # ids of texts so far, without end ids
-        ends = before + np.arange(1, n + 1)
-        return np.insert(ids, before, np.uint32(end_id)), ends
+        word = np.insert(word, bounds[1:] - bounds[0], len(sizes))
+        taken = lists.take(pa.array(word))
+        ends = taken.offsets.to_numpy()[bounds[1:] - bounds[0] + np.arange(1, n + 1)].astype(np.int64)
+        return taken.flatten().to_numpy(), ends
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
