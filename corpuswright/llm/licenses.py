@@ -121,10 +121,12 @@ def own_licences(terms: DataFrame, common: DataFrame, vectors: list[tuple], leas
     sides = terms.sparkSession.createDataFrame(vectors or [("", 0, "", 0.0)], "token string, t int, license string, x double")
     sides = sides.groupBy("token").agg(F.collect_list(F.struct("t", "license", "x")).alias("sides"))
     met = terms.join(F.broadcast(common) if common.count() <= MOST_COMMON else common, "token", "left").withColumn("w", times(F.col("tf")) * F.coalesce("idf", F.lit(math.log1p(1 / rare))))
-    # Per unit, one row: the norm over all its terms, and its terms that templates have.
-    met = met.join(F.broadcast(sides), "token", "left").groupBy(*key)
-    parts = met.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("sides").isNotNull(), F.struct("token", "w", "sides"))).alias("met"))
-    dots = parts.select(*key, "norm", F.explode(F.array_sort("met")).alias("m")).select(*key, "norm", "m.w", F.explode("m.sides").alias("x"))
+    # Per unit, one row: the norm over all its terms, and its terms that templates have. The templates'
+    # weights join only then, so that they are not shuffled.
+    met = met.join(F.broadcast(sides.select("token", F.lit(True).alias("shared"))), "token", "left").groupBy(*key)
+    parts = met.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("shared"), F.struct("token", "w"))).alias("met"))
+    dots = parts.select(*key, "norm", F.explode(F.array_sort("met")).alias("m")).select(*key, "norm", "m.token", "m.w")
+    dots = dots.join(F.broadcast(sides), "token").select(*key, "norm", "w", F.explode("sides").alias("x"))
     dots = dots.groupBy(*key, "norm", F.col("x.t").alias("t"), F.col("x.license").alias("license")).agg(F.sum(F.col("w") * F.col("x.x")).alias("dot"))
     scored = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= least)
     best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), "kind", "line", "license", "last")).alias("b"))
