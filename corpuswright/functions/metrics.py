@@ -128,20 +128,21 @@ def tree_distance(a: tuple, b: tuple) -> int:
     return dist[-1][-1]
 
 
-def html_tree(html: str) -> tuple:
-    """(label, children) of the tags of a fragment; text counts as a leaf."""
-    root: list = ["root", []]
+def html_tree(html: str, marked: bool = False) -> tuple:
+    """(label, children) of the tags of a fragment; text counts as a leaf. With `marked`, a third
+    entry says whether the node is a tag."""
+    root: list = ["root", [], True]
     stack = [root]
     for close, name, text in re.findall(r"<(/?)([a-zA-Z0-9]+)[^>]*>|([^<]+)", html):  # noqa: B007
         if text.strip():
-            stack[-1][1].append([text.strip(), []])
+            stack[-1][1].append([text.strip(), [], False])
         elif name and not close:
-            node = [name.lower(), []]
+            node = [name.lower(), [], True]
             stack[-1][1].append(node)
             stack.append(node)
         elif name and len(stack) > 1:
             stack.pop()
-    freeze = lambda n: (n[0], tuple(freeze(c) for c in n[1]))
+    freeze = lambda n: (n[0], tuple(freeze(c) for c in n[1]), *[n[2]] * marked)
     return freeze(root)
 
 
@@ -189,6 +190,25 @@ def _tree_score_batch(predictions: pd.Series, answers: pd.Series) -> pd.Series:
     return pd.Series([tree_similarity(p or "", a or "") for p, a in zip(predictions, answers)])
 
 
+def without_text(t: tuple) -> tuple:
+    """The tree of tags alone: leaves that are not tags go."""
+    return (t[0], tuple(without_text(c) for c in t[1] if c[2]))
+
+
+def structure_similarity(a: str, b: str) -> float:
+    x, y = (without_text(html_tree(s, marked=True)) for s in (a, b))
+    return 1 - tree_distance(x, y) / max(tree_size(x), tree_size(y))
+
+
+def _structure_score_batch(predictions: pd.Series, answers: pd.Series) -> pd.Series:
+    return pd.Series([structure_similarity(p or "", a or "") for p, a in zip(predictions, answers)])
+
+
+def structure_score(prediction: Column | str, answer: Column | str) -> Column:
+    """Tree similarity of the tags, whatever the text in them."""
+    return F.pandas_udf(_structure_score_batch, "double")(prediction, answer)
+
+
 def tree_score(prediction: Column | str, answer: Column | str) -> Column:
     return F.pandas_udf(_tree_score_batch, "double")(prediction, answer)
 

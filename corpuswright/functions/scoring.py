@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from corpuswright.functions import answers as A
 from corpuswright.functions import geometry as G
 
-# Words for tens and scales, and ordinals.
+# Words for tens and scales.
 TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 TEENS = {"eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19}
-ORDINALS = ("first", "second", "third", "fourth")
 
 
 def _map(values: Mapping[str, object]) -> Column:
@@ -164,6 +163,20 @@ def tagged_point(text: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
 
 
+def tagged_box_score(text: Column, target: Column) -> Column:
+    """IoU of the first <box>x1,y1,x2,y2</box> with the target; 0 where there is none."""
+    n = r"\s*(-?[0-9.]+)\s*"
+    pattern = rf"<box>{n},{n},{n},{n}</box>"
+    box = F.array(*[F.regexp_extract(text, pattern, i).try_cast("double") for i in (1, 2, 3, 4)])
+    return F.coalesce(G.iou(_corners(box), _corners(target)), F.lit(0.0))
+
+
+def tagged_point_distance(text: Column, x: Column, y: Column) -> Column:
+    """Distance of the tagged point from a place; null where there is none."""
+    p = tagged_point(text)
+    return F.hypot(p["x"] - x, p["y"] - y)
+
+
 def point_in_boxes(text: Column, boxes: Column) -> Column:
     """Whether the tagged point lies in one of the boxes, edges included."""
     p = tagged_point(text)

@@ -186,9 +186,25 @@ def case_sections(text: Column, start: str = r"(?m)^# CASE", stop: str = r"(?m)^
 def reports_in_order(report: DataFrame, name: str, fixed: Sequence[str], last: str = "Overall") -> DataFrame:
     """Rows in the fixed order, then unknown names sorted, then the total. An order for
     display, so for small reports."""
-    place = F.array_position(F.array(*map(F.lit, fixed)), F.col(name))
-    key = F.when(F.col(name) == last, F.lit(2**30)).when(place > 0, place).otherwise(F.lit(len(fixed) + 1))
-    return report.orderBy(key, name)
+    return report.orderBy(report_place(F.col(name), fixed, last), name)
+
+
+def report_place(name: Column, fixed: Sequence[str], last: str = "Overall") -> Column:
+    """Where a row stands: its place in the fixed order, then all others, then the total."""
+    place = F.array_position(F.array(*map(F.lit, fixed)), name)
+    return F.when(name == last, F.lit(2**30)).when(place > 0, place).otherwise(F.lit(len(fixed) + 1))
+
+
+def without_columns(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    return rows.drop(*names)
+
+
+def annotated(images: DataFrame, annotations: DataFrame, categories: DataFrame, most: int = 100_000) -> DataFrame:
+    """Annotations with their image's columns and their category's name; categories are sent round
+    if they are at most `most`. A category that has no name is unknown."""
+    few = categories.limit(most + 1).count() <= most
+    named = annotations.join(F.broadcast(categories) if few else categories, "category_id", "left")
+    return images.join(named, "image_id").withColumn("category", F.coalesce("category", F.lit("unknown")))
 
 
 def canonical(label: Column, same: Mapping[str, str]) -> Column:

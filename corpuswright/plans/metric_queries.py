@@ -13,13 +13,34 @@ from corpuswright.plans.frames import PRED, pred, table
 from corpuswright.plans.text_queries import REPLY, reply
 
 
-@register()
+def _grams(source: str, words: str, top: int, joint: str = " ") -> str:
+    """SQL of (id, n, gram, c) of a table's word lists."""
+    return f"SELECT id, n, gram, count(*) AS c FROM (SELECT id, n, unnest(list_transform(range(1, len({words}) - n + 2), lambda i: array_to_string({words}[i:i + n - 1], '{joint}'))) AS gram FROM {source}, range(1, {top} + 1) r(n)) GROUP BY ALL"
+
+
+_ROWS = "SELECT p_partkey AS id, p_name || ' ' || p_type AS p, p_type || ' ' || p_name AS a FROM part"
+
+
+@register(f"""WITH RECURSIVE t AS ({_ROWS}), w AS (SELECT id, list_filter(string_split_regex(p, '\\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(a, '\\s+'), lambda x: x <> '') AS a, string_split(p, '') AS pc, string_split(a, '') AS ac FROM t),
+ gp AS ({_grams("w", "p", 2)}), ga AS ({_grams("w", "a", 2)}), m AS (SELECT id, n, CAST(sum(least(gp.c, ga.c)) AS BIGINT) AS m FROM gp JOIN ga USING (id, n, gram) GROUP BY ALL),
+ l AS (SELECT id, 0::BIGINT AS i, list_transform(range(len(a) + 1), lambda x: 0::BIGINT) AS d FROM w UNION ALL
+ SELECT l.id, i + 1, list_transform(range(len(a) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN w.a[k] = w.p[l.i + 1] THEN l.d[k] + 1 ELSE l.d[k + 1] END)) END) FROM l JOIN w ON w.id = l.id AND l.i < len(w.p)),
+ lcs AS (SELECT id, arg_max(d, i)[-1] AS n FROM l GROUP BY id),
+ cp AS ({_grams("w", "pc", 4, "")}), ca AS ({_grams("w", "ac", 4, "")}), b AS (SELECT id, n, len(pc) - n + 1 AS all_, len(pc) AS lp, len(ac) AS la FROM w, range(1, 5) r(n)),
+ bm AS (SELECT b.*, coalesce(s.m, 0) AS m FROM b LEFT JOIN (SELECT id, n, sum(least(cp.c, ca.c)) AS m FROM cp JOIN ca USING (id, n, gram) GROUP BY ALL) s USING (id, n)),
+ bk AS (SELECT *, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS k FROM bm),
+ bleu AS (SELECT id, CASE WHEN max(CASE WHEN n = 1 THEN m END) = 0 OR min(all_) <= 0 THEN 0 ELSE (CASE WHEN max(lp) > max(la) THEN 1 ELSE exp(1 - max(la) / CAST(max(lp) AS DOUBLE)) END) * exp(sum(ln(CASE WHEN m = 0 THEN 1 / (pow(2, k) * all_) ELSE m / CAST(all_ AS DOUBLE) END)) / 4) END AS s FROM bk GROUP BY id)
+ SELECT w.id AS p_partkey, round(100 * 2 * coalesce(m1.m, 0) / CAST(len(p) + len(a) AS DOUBLE), 4) AS rouge_1, round(CASE WHEN coalesce(m2.m, 0) = 0 THEN 0 ELSE 100 * 2 * m2.m / CAST(len(p) + len(a) - 2 AS DOUBLE) END, 4) AS rouge_2, round(100 * 2 * lcs.n / CAST(len(p) + len(a) AS DOUBLE), 4) AS rouge_l, round(100 * bleu.s, 4) AS bleu_4
+ FROM w LEFT JOIN m m1 ON m1.id = w.id AND m1.n = 1 LEFT JOIN m m2 ON m2.id = w.id AND m2.n = 2 JOIN lcs ON lcs.id = w.id JOIN bleu ON bleu.id = w.id""")
 def rouge_bleu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", M.text_scores(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_type", "p_name")).alias("s"))
     return p.select("p_partkey", "s.*")
 
 
-@register()
+@register(f"""WITH w AS (SELECT p_partkey AS id, p_brand, list_filter(string_split_regex(p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_name, '\\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_type, '\\s+'), lambda x: x <> '') AS a FROM part),
+ gp AS ({_grams("w", "p", 4)}), ga AS ({_grams("w", "a", 4)}), m AS (SELECT id, n, sum(least(gp.c, ga.c)) AS m FROM gp JOIN ga USING (id, n, gram) GROUP BY ALL),
+ c AS (SELECT p_brand, n, sum(coalesce(m, 0)) AS m, sum(greatest(len(p) - n + 1, 0)) AS t, sum(len(p)) AS lp, sum(len(a)) AS la FROM w CROSS JOIN range(1, 5) r(n) LEFT JOIN m USING (id, n) GROUP BY ALL)
+ SELECT p_brand, CASE WHEN min(m) > 0 THEN (CASE WHEN max(lp) > max(la) THEN 1.0 ELSE exp(1 - max(la) / CAST(max(lp) AS DOUBLE)) END) * exp(sum(ln(CASE WHEN m > 0 THEN m / CAST(t AS DOUBLE) ELSE 1 END)) / 4) ELSE 0.0 END AS bleu FROM c GROUP BY p_brand""")
 def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_brand", F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name").alias("p"), F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_type").alias("a"))
     return M.corpus_bleu(p, ["p_brand"], "p", "a")
@@ -33,16 +54,23 @@ def cider_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cider_terms(c, "conv_id", F.col("t"), 2).withColumn("weight", F.round("weight", 6))
 
 
-@register()
+@register("""WITH t AS (SELECT p_partkey, lower(p_name) AS p, lower(p_name[1] || p_name[3] || p_name[2] || p_name[4:] || repeat('x', p_size % 4)) AS a FROM part), s AS (SELECT p_partkey, 1 - damerau_levenshtein(p, a) / CAST(greatest(length(p), length(a)) AS DOUBLE) AS s FROM t)
+ SELECT p_partkey, CASE WHEN s >= 0.9 THEN s ELSE 0 END AS score FROM s""")
 def near_string_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", M.near_string_score("p_name", F.concat(F.lit("The "), F.reverse(F.col("p_name")))).alias("score"))
+    """Names with two letters swapped, an article in front and some letters behind."""
+    n = F.col("p_name")
+    other = F.concat(F.lit("The "), F.substring(n, 1, 1), F.substring(n, 3, 1), F.substring(n, 2, 1), F.substring(n, 4, 10_000), F.repeat(F.lit("x"), (F.col("p_size") % 4).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", M.near_string_score("p_name", other).alias("score"))
 
 
-@register()
+@register("""SELECT p_partkey, 1 - (CASE WHEN p_type = p_brand THEN 0 ELSE 1 END + 2 * (p_size % 3)) / CAST(7 + 2 * (p_size % 3) AS DOUBLE) AS score, 1 - (p_size % 3) / CAST(5 + p_size % 3 AS DOUBLE) AS structure FROM part""")
 def tree_similarity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = lambda a, b: F.concat(F.lit("<table><tr><td>"), a, F.lit("</td><td>"), b, F.lit("</td></tr></table>"))
+    """A row with one cell changed and none to two added; with and without the cells' text."""
+    row = lambda a, b, more: F.concat(F.lit("<table><tr><td>"), a, F.lit("</td><td>"), b, F.lit("</td>"), more, F.lit("</tr></table>"))
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", M.tree_score(row("p_name", "p_type"), row("p_name", "p_brand")).alias("score"))
+    more = F.repeat(F.lit("<td>new</td>"), (F.col("p_size") % 3).cast("int"))
+    pair = (row("p_name", "p_type", F.lit("")), row("p_name", "p_brand", more))
+    return p.select("p_partkey", M.tree_score(*pair).alias("score"), M.structure_score(*pair).alias("structure"))
 
 
 @register(f"""WITH {REPLY} SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) <= 6 AS few_words, starts_with(text, 'The') AS begins, ends_with(text, '.') AS ends,
@@ -71,16 +99,18 @@ def map_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("source", F.size("p").alias("keys"), A.map_jaccard(F.col("p"), F.col("t")).alias("jaccard"))
 
 
-@register()
+@register(f"""WITH {REPLY}, h AS (SELECT doc_id, ('0x' || substr(md5('Score: ' || text), 1, 7))::BIGINT % 13 AS h FROM reply)
+ SELECT doc_id, CASE WHEN h <= 10 THEN h / 10.0::DOUBLE ELSE 0 END AS score, CASE h WHEN 11 THEN 'no score in ''no idea''; no score in ''no idea''; ok' WHEN 12 THEN 'no score in ''no idea''; ok' ELSE 'ok' END AS log FROM h""")
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reply(spark, sf_dir).select("doc_id", "text")
     return J.judged(rows, F.concat(F.lit("Score: "), "text")).select("doc_id", "score", "log")
 
 
-@register(f"""WITH {REPLY} SELECT CASE WHEN doc_id % 6 IN (0, 1, 3, 4) OR false THEN 'rule' ELSE 'judge' END AS basis, count(*) AS n FROM reply GROUP BY ALL""")
+@register(f"""WITH {REPLY}, h AS (SELECT *, ('0x' || substr(md5(text), 1, 7))::BIGINT % 13 AS h FROM reply)
+ SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1, 3) THEN prediction WHEN doc_id % 6 = 4 THEN 'Z' WHEN h <= 10 THEN printf('score: %.1f', h / 10.0::DOUBLE) ELSE 'no idea' END AS answer, CASE WHEN doc_id % 6 IN (0, 1, 3, 4) THEN 'rule' ELSE 'judge' END AS basis FROM h""")
 def rule_then_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = J.rule_then_judge(reply(spark, sf_dir), A.choice_letter(F.col("text")), F.col("text"))
-    return got.groupBy("basis").agg(F.count("*").alias("n"))
+    return got.select("doc_id", "answer", "basis")
 
 
 @register(f"WITH {PRED} SELECT doc_id, hit, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'known' END AS state FROM pred")

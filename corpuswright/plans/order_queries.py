@@ -158,7 +158,11 @@ def block_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.block_pack(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", F.col("n_chars"), 4096)
 
 
-@register()
+@register("""WITH RECURSIVE b AS (SELECT doc_id // 1000 AS batch, list({'n': n_chars, 'i': doc_id} ORDER BY n_chars, doc_id) FILTER (n_chars <= 4096) AS free FROM documents GROUP BY ALL),
+ w AS (SELECT batch, free, 4096::BIGINT AS room, 0::BIGINT AS pack, NULL::BIGINT AS doc_id, NULL::BIGINT AS n_chars FROM b UNION ALL
+ SELECT batch, CASE WHEN k > 0 THEN list_concat(free[1:k - 1], free[k + 1:]) ELSE free END, CASE WHEN k > 0 THEN room - free[k].n ELSE 4096 END, CASE WHEN k > 0 THEN pack ELSE pack + 1 END, CASE WHEN k > 0 THEN free[k].i END, CASE WHEN k > 0 THEN free[k].n END
+ FROM (SELECT *, len(list_filter(free, lambda x: x.n <= room)) AS k FROM w WHERE len(free) > 0))
+ SELECT batch, doc_id, n_chars, pack FROM w WHERE doc_id IS NOT NULL""")
 def knapsack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 1000").alias("batch"), "doc_id", "n_chars")
     return O.knapsack_pack(rows, "batch", "doc_id", "n_chars", 4096)

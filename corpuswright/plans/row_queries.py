@@ -61,7 +61,10 @@ def chapter_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sections(lines, "doc_id", "pos", "line", "^(The|Th)").select("doc_id", "section", F.md5("line").alias("body"), "n_lines")
 
 
-@register()
+@register("""WITH RECURSIVE p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), w AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS now, 0::BIGINT AS n, NULL::BIGINT AS longest FROM p UNION ALL
+ SELECT doc_id, i + 1, CASE WHEN now = 0 THEN l WHEN now + l + 2 <= 2000 THEN now + 2 + l ELSE l END, CASE WHEN now = 0 OR now + l + 2 <= 2000 THEN n ELSE n + 1 END, CASE WHEN now = 0 OR now + l + 2 <= 2000 THEN longest ELSE greatest(coalesce(longest, 0), now) END
+ FROM (SELECT w.*, length(p.p[i + 1]) AS l FROM w JOIN p USING (doc_id) WHERE i < len(p.p)))
+ SELECT doc_id, CAST(n + CASE WHEN now > 0 THEN 1 ELSE 0 END AS INTEGER) AS n, CAST(CASE WHEN now > 0 THEN greatest(coalesce(longest, 0), now) ELSE longest END AS INTEGER) AS longest FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1""")
 def paragraph_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", R.pack_paragraphs(F.split("text", "\n"), 2000).alias("packs"))
     return d.select("doc_id", F.size("packs").alias("n"), F.array_max(F.transform("packs", lambda x: F.length(x))).alias("longest"))

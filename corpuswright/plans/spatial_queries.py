@@ -58,21 +58,43 @@ def polygon_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pts.select("image_id", F.round(cx, 6).alias("cx"), F.round(cy, 6).alias("cy"), F.round(b[2] - b[0], 6).alias("w"), F.round(b[3] - b[1], 6).alias("h"), "n")
 
 
-@register()
+def _lap(a: str, b: str) -> str:
+    """SQL of the IoU of two box structs."""
+    inter = f"greatest(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1), 0) * greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0)"
+    return f"({inter}) / (({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) + ({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1) - {inter})"
+
+
+_BOX = "{'det_id': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'score': score, 'label': label}"
+
+
+@register(f"""WITH RECURSIVE {BOXES}, o AS (SELECT image_id, list({_BOX} ORDER BY score DESC, det_id) AS b FROM boxes GROUP BY image_id), w AS (SELECT image_id, 0::BIGINT AS i, b[1:0] AS kept, b FROM o UNION ALL
+ SELECT image_id, i + 1, CASE WHEN len(list_filter(kept, lambda k: {_lap("k", "w.b[w.i + 1]")} > 0.5)) = 0 THEN list_append(kept, b[i + 1]) ELSE kept END, b FROM w WHERE i < len(b)),
+ k AS (SELECT image_id, unnest(arg_max(kept, i)) AS k FROM w GROUP BY image_id) SELECT image_id, k.det_id, k.x1, k.y1, k.x2, k.y2, k.score, k.label FROM k""")
 def nms_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.suppress(boxes(spark, sf_dir), ["image_id"])
 
 
-@register()
+_SEED = "{'cx': (q.x1 + q.x2) / 2, 'cy': (q.y1 + q.y2) / 2, 'seed': q.det_id, 'x1': q.x1, 'y1': q.y1, 'x2': q.x2, 'y2': q.y2, 'members': 1::BIGINT}"
+
+
+@register(f"""WITH RECURSIVE {BOXES}, o AS (SELECT image_id, list({_BOX} ORDER BY det_id) AS b FROM boxes GROUP BY image_id), w AS (SELECT image_id, 1::BIGINT AS i, [{_SEED}] AS seeds, b FROM (SELECT *, b[1] AS q FROM o) UNION ALL
+ SELECT image_id, i + 1, CASE WHEN hit IS NULL THEN list_append(seeds, {_SEED}) ELSE list_transform(seeds, lambda s, j: CASE WHEN j = hit THEN {{'cx': s.cx, 'cy': s.cy, 'seed': s.seed, 'x1': least(s.x1, q.x1), 'y1': least(s.y1, q.y1), 'x2': greatest(s.x2, q.x2), 'y2': greatest(s.y2, q.y2), 'members': s.members + 1}} ELSE s END) END, b
+ FROM (SELECT *, list_min(list_filter(list_transform(seeds, lambda s, j: CASE WHEN abs(s.cx - (q.x1 + q.x2) / 2) < 12.5 AND abs(s.cy - (q.y1 + q.y2) / 2) < 20 THEN j END), lambda j: j IS NOT NULL)) AS hit FROM (SELECT *, b[i + 1] AS q FROM w WHERE i < len(b)))),
+ k AS (SELECT image_id, unnest(arg_max(seeds, i)) AS k FROM w GROUP BY image_id) SELECT image_id, k.seed, k.x1 - 3 AS x1, k.y1 - 3 AS y1, k.x2 + 3 AS x2, k.y2 + 3 AS y2, k.members FROM k""")
 def proximity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_close(boxes(spark, sf_dir), ["image_id"])
 
 
-@register()
+_PAIRS = f"p AS (SELECT a.image_id AS l_image_id, a.det_id AS l_det_id, b.det_id AS r_det_id, {_IOU} AS iou FROM boxes a JOIN boxes b ON {_MEET} WHERE a.label = 'R' AND b.label <> 'R')"
+
+
+@register(f"""WITH RECURSIVE {BOXES}, {_PAIRS}, o AS (SELECT l_image_id, list({{'l': l_det_id, 'r': r_det_id, 'iou': iou}} ORDER BY iou DESC, l_det_id, r_det_id) AS b FROM p GROUP BY l_image_id), w AS (SELECT l_image_id, 0::BIGINT AS i, b[1:0] AS kept, b FROM o UNION ALL
+ SELECT l_image_id, i + 1, CASE WHEN len(list_filter(kept, lambda k: k.l = w.b[w.i + 1].l OR k.r = w.b[w.i + 1].r)) = 0 THEN list_append(kept, b[i + 1]) ELSE kept END, b FROM w WHERE i < len(b)),
+ k AS (SELECT l_image_id, unnest(arg_max(kept, i)) AS k FROM w GROUP BY l_image_id) SELECT l_image_id, k.l AS l_det_id, k.r AS r_det_id, k.iou FROM k""")
 def greedy_box_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
     pairs = S.overlap_pairs(b.filter("label = 'R'"), b.filter("label <> 'R'"), ["image_id"]).select("l_image_id", "l_det_id", "r_det_id", "iou")
-    return S.greedy_matches(pairs, ["l_image_id"], "l_det_id", "r_det_id", "iou")
+    return S.greedy_matches(pairs.withColumn("iou", F.round("iou", 9)), ["l_image_id"], "l_det_id", "r_det_id", "iou")
 
 
 @register()
