@@ -5,17 +5,17 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuswright.operators.storage import new_path, shared_root
+
 #: Python-side work is cut into slices of about this many text bytes.
 SLICE_BYTES = 4 << 20
 
@@ -24,30 +24,13 @@ SLICE_BYTES = 4 << 20
 BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir.
-
-    A temporary folder is used only on a local master where nothing is set (tests); on a
-    cluster without the setting this raises, as no machine-local folder would be right.
-    """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = "file://" + tempfile.mkdtemp(prefix="corpuswright-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 #: Scratch made within each open `scratch` block, innermost last.
 _OPEN: list[list[str]] = []
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new folder below the application's own on shared storage."""
-    path = f"{shared_root(spark)}/corpuswright/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     if _OPEN:
         _OPEN[-1].append(path)
     return path
@@ -117,12 +100,6 @@ def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once for each row however often `use` names it, also within
-    lambdas, where the optimizer would compute it anew for every element."""
-    return F.transform(F.array(value), use)[0]
-
-
 def join_by_count(big: DataFrame, small: DataFrame, key: str, count: str, how: str = "left", hot: int = 1_000_000) -> DataFrame:
     """Joins big with a `small` that has one row for each key and the `count` of big's rows with it,
     where a third of big may share a key. Keys of over `hot` rows, so at most rows / hot of them, are

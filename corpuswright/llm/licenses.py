@@ -21,7 +21,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, join_one, materialise, remove
+from corpuswright.functions.binding import bind
+
+from .common import join_one, materialise, remove
 from .license_texts import templates as known_templates
 
 SENTENCE = r"[.!?;]\s+|\n"
