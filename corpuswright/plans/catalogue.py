@@ -25,7 +25,7 @@ def register(sql: str | None = None, name: str | None = None) -> Callable[[Query
 
 
 def _load() -> dict[str, tuple[Query, str | None]]:
-    from corpuswright.plans import conversation_queries, encoding_queries, metric_queries, order_queries, report_queries, row_queries, scoring_queries, source_queries, spatial_queries, stream_queries, text_queries  # noqa: F401
+    from corpuswright.plans import assign_queries, conversation_queries, encoding_queries, metric_queries, order_queries, report_queries, row_queries, scoring_queries, source_queries, spatial_queries, stream_queries, text_queries  # noqa: F401
 
     return _REGISTERED
 
