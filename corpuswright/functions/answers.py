@@ -191,6 +191,35 @@ def map_jaccard(p: Column, t: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.size(F.filter(F.map_values(both), lambda ok: ok)) / n)
 
 
+def map_equal(p: Column, t: Column) -> Column:
+    """1 where both maps are equal, whatever their order."""
+    return F.when(F.array_sort(F.map_entries(p)) == F.array_sort(F.map_entries(t)), 1.0).otherwise(0.0)
+
+
+def _agreeing(p: Column, t: Column, same) -> Column:
+    both = F.map_values(F.map_zip_with(p, t, lambda k, x, y: F.coalesce(same(x, y), F.lit(False))))
+    return F.size(F.filter(both, lambda ok: ok))
+
+
+def map_precision(p: Column, t: Column) -> Column:
+    """Share of the predicted keys that have the target's value; 0 for none."""
+    n = F.size(F.map_keys(p))
+    return F.when(n == 0, 0.0).otherwise(_agreeing(p, t, lambda x, y: x == y) / n)
+
+
+def map_recall(p: Column, t: Column) -> Column:
+    """Share of the target's keys that the prediction has right; null for an empty target."""
+    return _agreeing(p, t, lambda x, y: x == y) / F.nullif(F.size(F.map_keys(t)), F.lit(0))
+
+
+def map_of_sets_equal(p: Column, t: Column) -> Column:
+    """Share of the keys of either map whose lists are equal as sets; an absent list is empty."""
+    none = F.array().cast("array<string>")
+    same = lambda x, y: F.array_sort(F.array_distinct(F.coalesce(x, none))) == F.array_sort(F.array_distinct(F.coalesce(y, none)))
+    keys = F.size(F.array_union(F.map_keys(p), F.map_keys(t)))
+    return _agreeing(p, t, same) / F.nullif(keys, F.lit(0))
+
+
 def after_thinking(text: Column) -> Column:
     """What follows the last closing thought tag."""
     return strip(F.element_at(F.split(text, "</think>"), -1))

@@ -6,10 +6,12 @@ hold them to their definitions.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -155,6 +157,77 @@ def tree_similarity(a: str, b: str) -> float:
     return 1 - tree_distance(x, y) / max(tree_size(x), tree_size(y))
 
 
+def best_run(needle: str, hay: str) -> tuple[str, float, float, float, float, float, bool]:
+    """The run of as many words of hay as needle has, with a word in common, that resembles it most: text,
+    ratio, and precision, recall, F1, Jaccard and equality of its words. Of equals the first."""
+    want, words = needle.split(), hay.split()
+    n, wanted = len(want), set(want)
+    best: tuple[float, list[str]] = (0.0, [])
+    match = SequenceMatcher(None)
+    match.set_seq2(needle)
+    for i in range(len(words) - n + 1):
+        run = words[i : i + n]
+        if wanted.isdisjoint(run):
+            continue
+        match.set_seq1(" ".join(run))
+        if match.real_quick_ratio() > best[0] and match.quick_ratio() > best[0] and (r := match.ratio()) > best[0]:
+            best = (r, run)
+    ratio, run = best
+    if not run:
+        return "", 0.0, 0.0, 0.0, 0.0, 0.0, False
+    common = len(wanted & set(run))
+    p, r = common / len(set(run)), common / len(wanted)
+    return " ".join(run), ratio, p, r, 2 * p * r / (p + r) if common else 0.0, common / len(wanted | set(run)), run == want
+
+
+RUN_SCHEMA = "text string, ratio double, precision double, recall double, f1 double, jaccard double, equal boolean"
+
+
+def _best_run_batch(needles: pd.Series, hays: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([best_run(a or "", b or "") for a, b in zip(needles, hays)], columns=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
+
+
+def best_run_match(needle: Column | str, hay: Column | str) -> Column:
+    return F.pandas_udf(_best_run_batch, RUN_SCHEMA)(needle, hay)
+
+
+def gleu(prediction: Sequence, answer: Sequence, top: int = 4) -> float:
+    """Matched n-grams of n = 1 .. top over the larger of both numbers of n-grams."""
+    p, a = (Counter(g for n in range(1, top + 1) for g in ngrams(x, n).elements()) for x in (prediction, answer))
+    most = max(p.total(), a.total())
+    return (p & a).total() / most if most else 0.0
+
+
+def _gleu_batch(predictions: pd.Series, answers: pd.Series) -> pd.Series:
+    return pd.Series([gleu((p or "").split(), (a or "").split()) for p, a in zip(predictions, answers)])
+
+
+def gleu_score(prediction: Column | str, answer: Column | str) -> Column:
+    return F.pandas_udf(_gleu_batch, "double")(prediction, answer)
+
+
+def json_objects(text: str) -> list[str]:
+    """Every JSON object that can be read from a text, outermost ones in their order."""
+    out, at, decoder = [], 0, json.JSONDecoder()
+    while (at := text.find("{", at)) >= 0:
+        try:
+            value, size = decoder.raw_decode(text[at:])
+        except ValueError:
+            at += 1
+            continue
+        out.append(json.dumps(value, ensure_ascii=False))
+        at += size
+    return out
+
+
+def _json_objects_batch(texts: pd.Series) -> pd.Series:
+    return pd.Series([json_objects(t or "") for t in texts], dtype=object)
+
+
+def embedded_objects(text: Column | str) -> Column:
+    return F.pandas_udf(_json_objects_batch, "array<string>")(text)
+
+
 def dedent(text: str) -> str:
     import textwrap
 
@@ -252,3 +325,29 @@ def cider_terms(rows: DataFrame, key: str, text: Column, n: int) -> DataFrame:
     total = rows.select(key).distinct().count()
     df = tf.groupBy("gram").agg(F.count("*").alias("df"))
     return tf.join(df, "gram").select(key, "gram", "tf", (F.col("tf") * F.log(F.lit(float(total)) / F.col("df"))).alias("weight"))
+
+
+def cider(rows: DataFrame, key: str, prediction: Column, answer: Column, top: int = 4) -> DataFrame:
+    """(key, cider) of each row, ten times the mean over n of the cosine of both texts' n-grams weighted by
+    count and inverse frequency among the answers; counts of the prediction are cut at the answer's, and
+    texts of different length cost a Gaussian of six words. Two aggregations over all rows.
+
+    An n for which a side has no n-grams counts 0."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
+    sides = rows.select(F.col(key).alias("id"), words(prediction).alias("p"), words(answer).alias("a"))
+
+    def tagged(side: str, n: int) -> Column:
+        grams = F.coalesce(runs_of(F.col(side), n), F.array().cast("array<string>"))
+        return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram")))
+
+    each = [tagged(side, n) for n in range(1, top + 1) for side in "pa"]
+    both = sides.select("id", (F.size("p") - F.size("a")).alias("gap"), F.explode(F.concat(*each)).alias("g")).select("id", "gap", "g.*")
+    counted = both.groupBy("id", "gap", "n", "gram").agg(F.count_if(F.col("side") == "p").alias("p"), F.count_if(F.col("side") == "a").alias("a"))
+    total = rows.count()
+    df = counted.filter("a > 0").groupBy("n", "gram").agg(F.count("*").alias("df"))
+    idf = F.log(F.lit(float(total))) - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double"))
+    weighed = counted.join(df, ["n", "gram"], "left").withColumn("w", idf)
+    cut = F.least("p", "a") * F.col("w") * F.col("a") * F.col("w")
+    sums = weighed.groupBy("id", "gap", "n").agg(F.sum(cut).alias("dot"), F.sqrt(F.sum(F.pow(F.col("p") * F.col("w"), 2))).alias("np"), F.sqrt(F.sum(F.pow(F.col("a") * F.col("w"), 2))).alias("na"))
+    cosine = F.when((F.col("np") > 0) & (F.col("na") > 0), F.col("dot") / (F.col("np") * F.col("na"))).otherwise(0.0) * F.exp(-F.col("gap") * F.col("gap") / 72.0)
+    return sums.groupBy("id").agg((F.sum(cosine) * 10 / top).alias("cider")).withColumnRenamed("id", key)

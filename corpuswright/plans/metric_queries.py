@@ -54,6 +54,45 @@ def cider_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cider_terms(c, "conv_id", F.col("t"), 2).withColumn("weight", F.round("weight", 6))
 
 
+_CAPTIONS = "SELECT p_partkey AS id, lower(p_name || ' ' || p_type || CASE WHEN p_size % 2 = 0 THEN ' ' || p_brand ELSE '' END) AS p, lower(p_type || ' ' || p_name || ' made') AS a FROM part"
+
+
+def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.concat("p_name", F.lit(" "), "p_type", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_brand")).otherwise(""))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), p.alias("p"), F.concat_ws(" ", "p_type", "p_name", F.lit("made")).alias("a"))
+
+
+@register(f"""WITH t AS ({_CAPTIONS}), w AS (SELECT id, list_filter(string_split(p, ' '), lambda x: x <> '') AS p, list_filter(string_split(a, ' '), lambda x: x <> '') AS a FROM t), gp AS ({_grams("w", "p", 4)}), ga AS ({_grams("w", "a", 4)}),
+ df AS (SELECT n, gram, count(*) AS df FROM ga GROUP BY ALL), c AS (SELECT id, n, gram, coalesce(gp.c, 0) AS p, coalesce(ga.c, 0) AS a FROM gp FULL JOIN ga USING (id, n, gram)),
+ x AS (SELECT id, n, p, a, ln((SELECT count(*) FROM part)::DOUBLE) - ln(greatest(coalesce(df, 0), 1)) AS w FROM c LEFT JOIN df USING (n, gram)),
+ s AS (SELECT id, n, sum(least(p, a) * w * a * w) AS d, sqrt(sum(p * w * p * w)) AS np, sqrt(sum(a * w * a * w)) AS na FROM x GROUP BY ALL)
+ SELECT id, round(10 * sum(CASE WHEN np > 0 AND na > 0 THEN d / (np * na) ELSE 0 END * exp(-(len(w.p) - len(w.a)) * (len(w.p) - len(w.a)) / 72.0::DOUBLE)) / 4, 8) AS cider FROM s JOIN w USING (id) GROUP BY id""")
+def cider_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = M.cider(_captions(spark, sf_dir), "id", F.col("p"), F.col("a"))
+    return got.withColumn("cider", F.round("cider", 8))
+
+
+@register(f"""WITH t AS ({_CAPTIONS}), w AS (SELECT id, string_split(p, ' ') AS p, string_split(a, ' ') AS a FROM t), gp AS ({_grams("w", "p", 4)}), ga AS ({_grams("w", "a", 4)}), m AS (SELECT id, sum(least(gp.c, ga.c)) AS m FROM gp JOIN ga USING (id, n, gram) GROUP BY id)
+ SELECT id, coalesce(m, 0) / greatest((SELECT sum(c) FROM gp WHERE gp.id = w.id), (SELECT sum(c) FROM ga WHERE ga.id = w.id)) AS gleu FROM w LEFT JOIN m USING (id)""")
+def gleu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _captions(spark, sf_dir).select("id", M.gleu_score(F.lower("p"), F.lower("a")).alias("gleu"))
+
+
+@register("""SELECT p_partkey, p_name AS text, 1.0::DOUBLE AS ratio, 1.0::DOUBLE AS jaccard, true AS equal FROM part""")
+def best_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run of a longer text that is a name; tests hold near runs to their definition."""
+    m = M.best_run_match("p_name", F.concat_ws(" ", "p_type", "p_name", "p_brand", "p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", m.alias("m")).select("p_partkey", "m.text", "m.ratio", "m.jaccard", "m.equal")
+
+
+@register("""SELECT event_id, '{"id": ' || user_id || ', "t": "' || event_type || '"}' AS first, CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n FROM events""")
+def embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects within prose, broken ones before them and others after."""
+    text = F.concat(F.lit('so {broken {"id":'), "user_id", F.lit(', "t":"'), "event_type", F.lit('"} and '), F.when(F.col("event_id") % 3 == 0, '{"more": {"x": 1}} end').otherwise("{ end"))
+    e = table(spark, sf_dir, "events").select("event_id", M.embedded_objects(text).alias("o"))
+    return e.select("event_id", F.col("o")[0].alias("first"), F.size("o").alias("n"))
+
+
 @register("""WITH t AS (SELECT p_partkey, lower(p_name) AS p, lower(p_name[1] || p_name[3] || p_name[2] || p_name[4:] || repeat('x', p_size % 4)) AS a FROM part), s AS (SELECT p_partkey, 1 - damerau_levenshtein(p, a) / CAST(greatest(length(p), length(a)) AS DOUBLE) AS s FROM t)
  SELECT p_partkey, CASE WHEN s >= 0.9 THEN s ELSE 0 END AS score FROM s""")
 def near_string_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +129,20 @@ def numeric_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("lang", "source", F.when(F.col("n") == F.col("h"), 1.0).otherwise(0.0).alias("all_right"), A.relative_closeness(F.col("h").cast("double"), F.col("n").cast("double")).alias("closeness"))
 
 
+@register(f"""WITH {PRED}, n AS (SELECT source, lang, count(*) AS n FROM pred GROUP BY ALL) SELECT source, CASE WHEN count_if(lang = 'fr' OR lang = 'de') = 0 THEN 1.0::DOUBLE ELSE 0 END AS equal, count_if(lang IN ('en', 'es')) / CAST(count(*) AS DOUBLE) AS precision, count_if(lang IN ('en', 'es')) / nullif(CAST(count_if(lang <> 'de') AS DOUBLE), 0) AS recall,
+ count_if(lang <> 'fr') / CAST(count(*) AS DOUBLE) AS sets FROM n GROUP BY source""")
+def map_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by language against ones in which French differs and German is absent; lists of letters
+    against them in another order, where French has one more."""
+    n = pred(spark, sf_dir).groupBy("source", "lang").agg(F.count("*").alias("n"))
+    of = lambda v: F.map_from_entries(F.collect_list(F.struct("lang", v)))
+    other = F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("lang") != "de", F.struct("lang", F.when(F.col("lang") == "fr", F.col("n") + 1).otherwise(F.col("n")))))))
+    two, three = F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("a"), F.lit("c"))
+    m = n.groupBy("source").agg(of(F.col("n")).alias("p"), other.alias("t"), of(two).alias("ps"), of(F.when(F.col("lang") == "fr", three).otherwise(F.array(F.lit("b"), F.lit("a"), F.lit("a")))).alias("ts"))
+    p, t = F.col("p"), F.col("t")
+    return m.select("source", A.map_equal(p, t).alias("equal"), A.map_precision(p, t).alias("precision"), A.map_recall(p, t).alias("recall"), A.map_of_sets_equal(F.col("ps"), F.col("ts")).alias("sets"))
+
+
 @register(f"""WITH {PRED}, k AS (SELECT source, map_from_entries(list((lang, CAST(n AS VARCHAR)))) AS p, map_from_entries(list((lang, CAST(CASE WHEN lang = 'fr' THEN n + 1 ELSE n END AS VARCHAR)))) AS t, count(*) AS keys, count_if(lang <> 'fr') AS same FROM (SELECT source, lang, count(*) AS n FROM pred GROUP BY ALL) GROUP BY source)
  SELECT source, CAST(keys AS INTEGER) AS keys, CAST(same AS DOUBLE) / keys AS jaccard FROM k""")
 def map_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuswright.operators import mixing as X
 from corpuswright.operators import ordering as O
 from corpuswright.plans.catalogue import register
 from corpuswright.plans.frames import PRED, pred, table
@@ -135,6 +136,25 @@ def mix_interleave_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.interleave(_two(spark, sf_dir), "key", stop="all")
 
 
+def _mixed(stop: str) -> str:
+    """SQL of a mix of orders (0.7) and customers (0.3) by the md5 of the position."""
+    end = "min" if stop == "first" else "max"
+    return f"""WITH a AS ({_A}), b AS ({_B}), n AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb),
+ d AS (SELECT t AS position, CASE WHEN ('0x' || substr(md5('42:' || t), 1, 7))::BIGINT < 187904819 THEN 0 ELSE 1 END AS source FROM range((SELECT na + nb FROM n) * 20) r(t)), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position) - 1 AS turn FROM d),
+ e AS (SELECT {end}(position) AS stop FROM k, n WHERE turn = CASE source WHEN 0 THEN na ELSE nb END - 1)
+ SELECT coalesce(a.key, b.key) AS key, coalesce(a.name, b.name) AS name, source, position FROM k CROSS JOIN n CROSS JOIN e LEFT JOIN a ON source = 0 AND a.k = turn % na LEFT JOIN b ON source = 1 AND b.k = turn % nb WHERE position <= stop"""
+
+
+@register(_mixed("first"))
+def mix_by_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.interleave_by_probability(_two(spark, sf_dir), "key", [0.7, 0.3])
+
+
+@register(_mixed("all"))
+def mix_by_probability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.interleave_by_probability(_two(spark, sf_dir), "key", [0.7, 0.3], stop="all")
+
+
 @register("SELECT 'customer' AS origin, c_name AS name, c_acctbal AS bal, CAST(NULL AS BIGINT) AS n_size FROM customer UNION ALL SELECT 'supplier', s_name, s_acctbal, NULL FROM supplier UNION ALL SELECT 'part', p_name, p_retailprice, p_size FROM part")
 def mix_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer").select(F.lit("customer").alias("origin"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))

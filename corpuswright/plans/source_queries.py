@@ -42,6 +42,15 @@ def registry_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.to_canonical(table(spark, sf_dir, spec.location), spec).select("prompt", "response", "system", "tools")
 
 
+@register("WITH d AS (SELECT c_name, c_custkey, row_number() OVER (ORDER BY md5('42:' || c_custkey), c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer) SELECT c_name AS prompt, CAST(c_custkey AS VARCHAR) AS response, count(*) AS times FROM (SELECT c_name, c_custkey FROM d, range(10) r(t) WHERE t < 200 // n UNION ALL SELECT c_name, c_custkey FROM d WHERE k < 200 % n) GROUP BY ALL")
+def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of one kind of files found through the registry, and a number of samples of it."""
+    path = new_path(spark, "dataset")
+    table(spark, sf_dir, "customer").select("c_custkey", "c_name").write.parquet(path)
+    (spec,) = registry.load_specs({"c": {"file": path, "num_samples": 200, "columns": {"prompt": "c_name", "response": "c_custkey"}}})
+    return registry.scan(spark, spec, order="c_custkey").groupBy("prompt", F.col("response").cast("string").alias("response")).agg(F.count("*").alias("times"))
+
+
 @register("SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN 'url' ELSE 'text' END AS kind FROM pages")
 def value_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", files.kind_of_value(F.regexp_replace("url", r"\.html.*$", "")).alias("kind"))

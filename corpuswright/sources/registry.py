@@ -40,8 +40,9 @@ class DatasetSpec:
             return self.columns.get(canonical)
         return DEFAULTS[self.formatting].get(canonical)
 
-    def tag(self, name: str) -> str:
-        return self.tags.get(name, TAGS[name])
+    def tag(self, name: str) -> str | None:
+        """What a tag is called. A given block replaces all defaults, as with columns."""
+        return self.tags.get(name) if self.tags else TAGS[name]
 
 
 def load_specs(source: Mapping | str, names: list[str] | None = None) -> list[DatasetSpec]:
@@ -96,6 +97,27 @@ def snippet(name: str, file: str) -> str:
     return json.dumps({name: entry}, indent=2, ensure_ascii=False)
 
 
+def scan(spark: SparkSession, spec: DatasetSpec, root: str = "", seed: int = 42, order: str | None = None) -> DataFrame:
+    """The rows of a file or folder dataset under canonical names; a folder's files are of one kind.
+    `num_samples` rows are drawn: whole copies first, then the first by a hash of `order` (by default of
+    the whole row)."""
+    from corpuswright.operators.ordering import sample_exact
+    from corpuswright.sources import files
+
+    path = f"{root}/{spec.location}" if root else spec.location
+    try:
+        rows = files.read(spark, path)
+    except ValueError:  # a folder: its files say what they are
+        kinds = {files.kind_of(r.path) for r in files.listing(spark, path, exclude=["/_", "/."]).select("path").toLocalIterator()}
+        if len(kinds) != 1:
+            raise ValueError(f"{spec.name}: the files of a folder share one kind") from None
+        rows = files.read(spark, path, kinds.pop())
+    if spec.num_samples:
+        rows = rows.withColumn("__key", F.col(order) if order else F.to_json(F.struct(*rows.columns)))
+        rows = sample_exact(rows, "__key", spec.num_samples, seed).drop("__key")
+    return to_canonical(rows, spec)
+
+
 def check_merge(specs: list[DatasetSpec], ranking_stage: bool) -> None:
     """Ranking datasets fit ranking stages only, and the other way round."""
     for s in specs:

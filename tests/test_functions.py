@@ -12,6 +12,7 @@ from corpuswright.functions import conversation as C
 from corpuswright.functions import geometry as G
 from corpuswright.functions import metrics as M
 from corpuswright.functions.binding import runs_of
+from corpuswright.operators import mixing as X
 from corpuswright.operators import ordering as O
 from corpuswright.operators import rows as R
 from corpuswright.operators import spatial as S
@@ -240,3 +241,45 @@ def test_prefix_sums_of_any_group(spark):
     for name in ("hash_shuffle", "shard_ntile", "mix_interleave", "fraction_split", "uid_deduplication", "block_packing", "composite_benchmark", "append_to_table"):
         plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan, name
+
+
+def test_best_run_is_the_best(spark):
+    """Against every run by the plain ratio."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    for _ in range(60):
+        hay = [rng.choice("ab cd ef gh ij klm".split()) for _ in range(12)]
+        needle = " ".join(rng.choice("ab cd ef gh xy".split()) for _ in range(3))
+        runs = [" ".join(hay[i : i + 3]) for i in range(10) if set(hay[i : i + 3]) & set(needle.split())]
+        want = max((SequenceMatcher(None, r, needle).ratio() for r in runs), default=0.0)
+        got = M.best_run(needle, " ".join(hay))
+        assert got[1] == pytest.approx(want) and (not runs or got[0] in runs)
+    assert M.best_run("a b", "c d e") == ("", 0.0, 0.0, 0.0, 0.0, 0.0, False)
+
+
+def test_gleu_and_objects():
+    assert M.gleu("a b c".split(), "a b c".split()) == 1.0 and M.gleu([], []) == 0.0
+    assert M.gleu("a b".split(), "a c".split()) == pytest.approx(1 / 3)
+    assert M.json_objects('x {"a": {"b": 1}} {bad} {"c": "é"}') == ['{"a": {"b": 1}}', '{"c": "é"}'] and M.json_objects("none") == []
+
+
+def test_mixing_edges(spark):
+    a, b = spark.range(5).selectExpr("id k", "'a' s"), spark.range(0).selectExpr("id k", "'b' s")
+    assert X.interleave_by_probability([a, b], "k", [0.5, 0.5]).collect() == []
+    got = X.interleave_by_probability([a, b], "k", [0.5, 0.5], stop="all").collect()
+    assert sorted(r.k for r in got) == [0, 1, 2, 3, 4] and {r.source for r in got} == {0}
+    with pytest.raises(ValueError):
+        X.interleave_by_probability([a, b], "k", [1.0, 0.0])
+
+
+def test_registry_tags_and_folders(spark, tmp_path):
+    one, two = registry.load_specs({"a": {"file": "x.json", "tags": {"role_tag": "role"}}, "b": {"file": "y.json"}})
+    assert (one.tag("role_tag"), one.tag("content_tag"), two.tag("content_tag")) == ("role", None, "value")
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.json").write_text("[]")
+    (folder / "b.csv").write_text("x\n1\n")
+    (spec,) = registry.load_specs({"m": {"file": str(folder)}})
+    with pytest.raises(ValueError):
+        registry.scan(spark, spec)
