@@ -283,3 +283,27 @@ def test_registry_tags_and_folders(spark, tmp_path):
     (spec,) = registry.load_specs({"m": {"file": str(folder)}})
     with pytest.raises(ValueError):
         registry.scan(spark, spec)
+
+
+def test_streams_over_many_batches(spark, tmp_path):
+    """Numbers, upserts and logs go on from batch to batch, and merged upserts keep the latest."""
+    for k in range(7):
+        rows = [(k * 10 + i, i, "a" if i % 3 else "b") for i in range(10)]
+        spark.createDataFrame(rows, "id long, key long, s string").coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+    schema = "id long, key long, s string"
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    at = lambda name: str(tmp_path / name)
+    got = jobs.number_batches(stream(), ["id"], ["s"], at("n"), at("cn")).collect()
+    assert len(got) == 70
+    for s in "ab":
+        own = sorted(r.turn for r in got if r.s == s)
+        assert own == list(range(len(own)))
+    split = jobs.take_and_skip(stream(), "id", 15, at("t"), at("ct")).collect()
+    assert sum(r.split == "validation" for r in split) == 15 and len(split) == 70
+    for every in (2, 100):
+        last = jobs.upsert_batches(stream(), at(f"u{every}"), "key", at(f"cu{every}"), "id", merge_every=every)
+        assert sorted((r.key, r.id) for r in last.collect()) == [(i, 60 + i) for i in range(10)]
+    log = jobs.batch_metrics(stream(), {"mean": F.avg("id")}, at("l"), at("cl")).collect()
+    assert sorted(r.batch for r in log) == [0, 1, 2, 3] and sum(r.rows for r in log) == 70
+    counts = jobs.run_to_snapshot(stream().groupBy("s").agg(F.count("*").alias("n")), at("s"), at("cs"))
+    assert {r.s: r.n for r in counts.collect()} == {"a": 42, "b": 28}
