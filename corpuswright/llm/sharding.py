@@ -136,6 +136,7 @@ def kd_shards(docs: DataFrame, shards: int = 16, dims: tuple[str, ...] = ("sourc
         scaled = (F.col(f"raw{k}") - F.lit(lo)) / F.lit((hi - lo) or 1.0) * F.lit(float((1 << COORD) - 2)) + 1
         keys.append(F.coalesce(F.floor(scaled), F.lit(0)).cast("long") * F.lit(1 << (TEXT + ROW)) + tail)
     keyed = rows.select("doc_id", "size", "text_crc32", "row", *[x.alias(f"key{k}") for k, x in enumerate(keys)]).withColumn("base", F.lit(0))
+    keyed, _ = materialise(keyed, "shard-keys")  # the passes below compare stored keys
     keys = [F.col(f"key{k}") for k in range(len(dims))]
     roots = level = [Node(0, shards)]
     depth = 0
