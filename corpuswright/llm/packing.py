@@ -19,7 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,8 @@ END_ID = 1
 # The whole vocabulary of the fast path: printable ASCII and the Latin-1 letters, digits
 # and signs. Words with anything else are given to the tokenizer as they are.
 _PLAIN = re.compile(r"[!-~\xa1-\xff]+")
-_LETTER, _MARK, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
-_LETTER[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = _MARK[[*b".,;:!?"]] = True
-_LOWER[65:91] += 32
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_KIND = bytes(1 if 65 <= c <= 90 or 97 <= c <= 122 else 2 if c in b".,;:!?" else 0 for c in range(256))  # letters, marks
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
@@ -109,18 +108,19 @@ class TokenCache:
         if len(self.known) > self.limit:
             self._forget()
         get = self.known.get
-        found = list(map(get, words))
+        found = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
         composed: dict[int, list[str]] = {}
-        odd: list[str] = []
-        for k in [k for k, i in enumerate(found) if i is None]:
+        odd: list[int] = []
+        for k in np.nonzero(found < 0)[0].tolist():
             w = words[k]
             if "<|" in w or not _PLAIN.fullmatch(w):
-                odd.append(w)
+                odd.append(k)
             else:
                 composed[k] = _PIECES.findall(w.lower())
         if odd:
-            self._learn(self.full, list(dict.fromkeys(odd)))
-        new = {p: None for parts in composed.values() for p in parts if get(p) is None}
+            self._learn(self.full, list(dict.fromkeys(words[k] for k in odd)))
+            found[odd] = [get(words[k]) for k in odd]
+        new = {p: None for parts in composed.values() for p in parts if p not in self.known}
         if new:
             self._learn(self.bare, list(new))
         counts = np.ones(len(words), np.int32)
@@ -129,10 +129,9 @@ class TokenCache:
         first = np.cumsum(counts) - counts
         at = np.empty(int(counts.sum()), np.int32)
         at[ragged(first[parts], counts[parts])] = np.fromiter(map(get, chain.from_iterable(composed.values())), np.int32)
-        whole = np.ones(len(words), bool)
-        whole[parts] = False
-        at[first[whole]] = np.fromiter((get(words[k]) if i is None else i for k, i in enumerate(found) if k not in composed), np.int32) if odd else np.fromiter((i for i in found if i is not None), np.int32)
-        self.met[np.unique(at)] += 1
+        whole = found >= 0
+        at[first[whole]] = found[whole]
+        self.met[at] += 1  # once for each distinct place
         lens = self.lens[at]
         return self.flat[ragged(self.starts[at], lens)], np.add.reduceat(lens, first) if len(words) else lens
 
@@ -141,13 +140,15 @@ class TokenCache:
         n = len(texts)
         at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int32)
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-        if b"<|" not in raw.tobytes():  # no special token is spelled out
+        plain = raw.tobytes()
+        if b"<|" not in plain:  # no special token is spelled out
             # ASCII letters may be lowered first where no combining mark can follow them; this only
             # saves work on words that differ in case. A token ends between an ASCII letter and
             # one of these marks, so a blank there changes no id and leaves fewer distinct words.
             if len(raw) and raw.max() < 0xCC:
-                raw = _LOWER[raw]
-            cuts = np.nonzero(_LETTER[raw[:-1]] & _MARK[raw[1:]])[0] + 1
+                raw = np.frombuffer(plain.translate(_LOWER), np.uint8)
+            kind = np.frombuffer(plain.translate(_KIND), np.uint8)
+            cuts = np.nonzero((kind[:-1] == 1) & (kind[1:] == 2))[0] + 1
             offsets = at - at[0]
             texts = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer((offsets + np.searchsorted(cuts, offsets)).astype(np.int32)), pa.py_buffer(np.insert(raw, cuts, 32))])
         words = pc.ascii_split_whitespace(texts)
