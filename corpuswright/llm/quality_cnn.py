@@ -149,10 +149,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_byte
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id"))
     known = known.agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("other")).filter("label = other").drop("other")
     known = known.filter(fold("doc_id") != 0)
-    # Ids are drawn before texts are touched, twice as many as texts, as not all fit.
-    drawn = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for k in (0, 1)]
-    drawn = drawn[0].union(drawn[1])
+    # Ids are drawn among those whose text fits, by sizes alone; only then are texts read.
     texts = id_text(docs, id_col, text_col).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    drawn = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    drawn = drawn[0].union(drawn[1])
     rows = texts.join(F.broadcast(drawn), "doc_id").select("label", F.xxhash64("doc_id").alias("h"), "doc_id", "text")
     first = [rows.filter(F.col("label") == k).orderBy("h", "doc_id", "text").limit(per_class) for k in (0, 1)]
     got = first[0].union(first[1]).collect()

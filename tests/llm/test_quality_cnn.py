@@ -40,6 +40,40 @@ def test_chunks_cover_every_window_once(monkeypatch):
         assert np.array_equal(rows, model.windows(raw))
 
 
+def slow_score(weights, text, width, stride):
+    """The network's answer by plain loops over the document's windows."""
+    raw = list((text or "").encode())
+    best = [-float("inf")] * weights["conv"].shape[1]
+    at = 0
+    while True:
+        window = raw[at : at + width] + [0] * (width - len(raw[at : at + width]))
+        x = np.concatenate([weights["embed"][b] for b in window]).astype(np.float64)
+        best = np.maximum(best, x @ weights["conv"])
+        if at + width >= len(raw):
+            break
+        at += stride
+    a = np.tanh(best + weights["conv_bias"])
+    h = np.tanh(a @ weights["hidden"] + weights["hidden_bias"])
+    return 1 / (1 + np.exp(-float((h @ weights["out"] + weights["out_bias"])[0])))
+
+
+def test_query_by_plain_loops(spark, sf, rows):
+    """The registered query's scores, from a network trained again, window by window."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_cnn.train(docs, labels)
+    got = {r.doc_id: r.score for r in queries.op2_quality(spark, sf).collect()}
+    assert set(got) == {r.doc_id for r in rows}
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[:: max(1, len(rows) // 60)]:
+        assert abs(got[r.doc_id] - slow_score(model.weights, r.text, model.width, model.stride)) < 1e-3
+
+
+def test_sample_is_full_though_long_texts_are_labelled(spark):
+    docs = spark.range(200).selectExpr("id doc_id", "repeat('x', if(id % 4 = 0, 10, 50000)) text")
+    labels = spark.range(200).selectExpr("id doc_id", "cast(id div 4 % 2 as int) quality")
+    texts, y = quality_cnn.training_sample(docs, labels, 15, 1000, "doc_id", "text", "quality")
+    assert y.count(0) == y.count(1) == 15 and max(map(len, texts)) == 10
+
+
 def test_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (3, 1), (4, 0), (4, 1), (5, None), (None, 1)], "doc_id long, quality int")
     model = quality_cnn.train(odd, labels)
