@@ -1,8 +1,8 @@
 """Secret scans with multipart credential linking.
 
 Strong patterns (assignments, access identifiers, long hex) are reported wherever they are. Weak
-candidates - bare secrets of mixed characters, account names, endpoints - are too common to
-report alone. They are reported when complementary parts meet in a scope: an interval join
+candidates - bare secrets (letters and digits of enough entropy, or a UUID), account names,
+endpoints - are too common to report alone. They are reported when complementary parts meet in a scope: an interval join
 of the document's candidates by position links an identifier or endpoint with a secret if
 at most `reach` code points lie between them and no blank line does.
 
@@ -36,7 +36,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal: shorter ones hold no mat
 IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.IGNORECASE | re.ASCII)
 ENDPOINT = re.compile(r"""\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s"'<>]+|\b(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.:/-]{4,})""", re.IGNORECASE | re.ASCII)
 BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", re.ASCII)
+_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.ASCII)
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 
 
 def entropy(text: str) -> float:
@@ -55,7 +56,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def weak_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("identifier", *m.span()) for m in IDENTIFIER.finditer(text)]
     out += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
-    return out + [("secret", *m.span()) for m in BARE.finditer(text) if _MIXED.match(m[0]) and entropy(m[0]) >= 3.5]
+    return out + [("secret", *m.span()) for m in BARE.finditer(text) if _UUID.fullmatch(m[0]) or _MIXED.match(m[0]) and entropy(m[0]) >= 3.5]
 
 
 class Side:

@@ -46,6 +46,9 @@ def test_query(spark):
         assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex"))
         assert row.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert [s for s in row.spans.split(",") if s.split(":")[0] in ("assign", "access", "hex")] == base
+        strong = secrets.base_spans(r.text or "")
+        linked = [f"{k}:{s}:{e}" for k, s, e in slow_linked(r.text, strong)]
+        assert sorted(row.spans.split(",") if row.spans else []) == sorted({*base, *linked})
     assert any(r.n_assign for r in got.values())
 
 
@@ -76,3 +79,12 @@ def test_odd_rows(odd, empty):
 def test_redact_text():
     text = "user=bobby password=hunter22 end"
     assert secrets.redact_text(text, secrets.find(text)) == "[identifier] [assign] end"
+
+
+def test_secrets_of_one_case_and_uuids():
+    """Keys in one letter case and UUIDs are candidates, reported beside an identifier or endpoint only."""
+    for key in ("123e4567-e89b-12d3-a456-426614174000", "xoxb-1234567890-abcdefghij0987", "MFRGGZDFMZTWQ2LKNNWG23TPOA7Q"):
+        assert secrets.find(f"so {key} here") == []
+        kinds = [k for k, _, _ in secrets.find(f"username=bob uses {key} there")]
+        assert kinds == ["identifier", "secret"], key
+    assert secrets.find("username=bob said internationalisation-of-everything") == []  # no digit
