@@ -191,6 +191,24 @@ def map_jaccard(p: Column, t: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.size(F.filter(F.map_values(both), lambda ok: ok)) / n)
 
 
+def validated_pairs(payload: Column, levels: Mapping[int, str]) -> Column:
+    """(level, question, answer) of a JSON list of pairs, one for each level in the order given: of a
+    level that comes twice the last counts, a question that is missing is the level's own. Null where an
+    answer is missing or the payload is no list (or an object with one as vqa_pairs, VQA or items)."""
+    held = F.coalesce(*[F.get_json_object(payload, f"$.{k}") for k in ("vqa_pairs", "VQA", "items")], payload)
+    items = F.from_json(held, "array<map<string,string>>")
+    any_of = lambda m, *names: F.coalesce(*[F.nullif(strip(F.try_element_at(m, F.lit(n))), F.lit("")) for n in names])
+
+    def one(level: int, question: str) -> Column:
+        last = F.element_at(F.filter(items, lambda m: F.coalesce(any_of(m, "level", "Level").try_cast("int") == level, F.lit(False))), -1)
+        return F.struct(F.lit(level).alias("level"), F.coalesce(any_of(last, "question", "Q"), F.lit(question)).alias("question"), any_of(last, "answer", "A").alias("answer"))
+
+    # element_at of an empty array raises, so an empty entry stands in front.
+    items = F.concat(F.array(F.create_map(F.lit("level"), F.lit(""))), *[F.array(F.create_map(F.lit("level"), F.lit(str(k)))) for k in levels], items)
+    pairs = F.array(*[one(k, q) for k, q in levels.items()])
+    return bind(pairs, lambda p: F.when(items.isNotNull() & F.forall(p, lambda x: x["answer"].isNotNull()), p))
+
+
 def map_equal(p: Column, t: Column) -> Column:
     """1 where both maps are equal, whatever their order."""
     return F.when(F.array_sort(F.map_entries(p)) == F.array_sort(F.map_entries(t)), 1.0).otherwise(0.0)

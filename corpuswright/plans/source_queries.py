@@ -78,6 +78,28 @@ def transcript_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", F.size(turns).alias("turns"), F.exists(turns, lambda x: x["role"] == "assistant").alias("replied"))
 
 
+@register("""SELECT o_orderkey, 'What of ' || o_orderkey || '?' AS instruction, 'good ' || o_orderpriority AS chosen, 'bad' AS rejected, CASE WHEN o_orderkey % 2 = 0 THEN 'first|yes' ELSE '' END AS history FROM orders""")
+def transcript_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two transcripts that differ in the last reply, with or without an earlier exchange."""
+    k = F.col("o_orderkey")
+    head = F.concat(F.when(k % 2 == 0, "\n\nHuman: first \n\nAssistant: yes").otherwise(""), F.lit("\n\nHuman: What of "), k, F.lit("?\n\nAssistant: "))
+    pair = files.transcript_pair(F.concat(head, F.lit("good "), "o_orderpriority", F.lit(" \n")), F.concat(head, F.lit(" bad")))
+    shown = F.array_join(F.transform("p.history", lambda h: F.concat_ws("|", h["query"], h["response"])), ";")
+    return table(spark, sf_dir, "orders").select("o_orderkey", pair.alias("p")).select("o_orderkey", "p.instruction", "p.chosen", "p.rejected", shown.alias("history"))
+
+
+@register("SELECT c_name, ntile(4) OVER (ORDER BY c_name) AS shard FROM customer")
+def shard_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in order, dealt to ranges of which the first have one more."""
+    from corpuswright.operators.ordering import rank_all
+
+    c = table(spark, sf_dir, "customer").select("c_name")
+    small, more = divmod(c.count(), 4)
+    k = F.col("k")
+    part = F.when(k < more * (small + 1), F.floor(k / (small + 1))).otherwise(more + F.floor((k - more * (small + 1)) / max(small, 1)))
+    return rank_all(c, ["c_name"], "k").select("c_name", (part + 1).cast("long").alias("shard"))
+
+
 @register("WITH a AS (SELECT p_partkey AS idx, CASE WHEN p_partkey % 3 = 0 AND p_partkey > 3 THEN CAST(p_partkey - 1 AS VARCHAR) ELSE repeat(p_name, 20) END AS image FROM part) SELECT a.idx, coalesce(b.image, CASE WHEN length(a.image) > 64 THEN a.image END) AS image FROM a LEFT JOIN a b ON length(a.image) <= 64 AND a.image = CAST(b.idx AS VARCHAR) AND length(b.image) > 64")
 def benchmark_image_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = F.when((F.col("p_partkey") % 3 == 0) & (F.col("p_partkey") > 3), (F.col("p_partkey") - 1).cast("string")).otherwise(F.repeat("p_name", F.lit(20)))

@@ -202,3 +202,14 @@ def category_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split("category", ",")
     more = F.when(F.arrays_overlap(parts, F.array(F.lit("en"), F.lit("de"))), F.array_append(parts, "germanic")).otherwise(parts)
     return pred(spark, sf_dir).select("category", F.array_join(F.transform(more, lambda x: F.initcap(x)), ",").alias("n")).distinct()
+
+
+@register("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE '1:own ' || o_orderkey || ':a' || o_orderkey || ';2:Why?:' || o_orderpriority END AS pairs FROM orders""")
+def payload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of pairs by level under alias keys; every fifth lacks an answer."""
+    k = F.col("o_orderkey")
+    second = F.when(k % 5 == 0, '{"level": 2, "answer": " "}').otherwise(F.concat(F.lit('{"Level": "2", "A": "'), "o_orderpriority", F.lit('"}')))
+    listed = F.concat(F.lit('[{"level": 1, "answer": "old"}, {"level": "x"}, {"level": 1, "Q": "own '), k, F.lit('", "answer": "a'), k, F.lit('"}, '), second, F.lit("]"))
+    payload = F.when(k % 2 == 0, listed).otherwise(F.concat(F.lit('{"items": '), listed, F.lit("}")))
+    pairs = F.transform(A.validated_pairs(payload, {1: "What?", 2: "Why?"}), lambda p: F.concat_ws(":", p["level"], p["question"], p["answer"]))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(pairs, ";").alias("pairs"))

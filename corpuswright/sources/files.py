@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuswright.functions.binding import bind
+
 FORMATS = {".parquet": "parquet", ".orc": "orc", ".json": "json", ".jsonl": "jsonl", ".csv": "csv", ".tsv": "tsv", ".txt": "text", ".md": "text"}
 
 
@@ -92,6 +94,40 @@ def transcript_turns(text: Column, human: str = "\n\nHuman: ", model: str = "\n\
     return F.transform(parts, lambda p: F.struct(F.substring_index(p, "\x02", 1).alias("role"), F.substring_index(p, "\x02", -1).alias("content")))
 
 
+def transcript_pair(chosen: Column, rejected: Column, human: str = "\n\nHuman: ", model: str = "\n\nAssistant: ") -> Column:
+    """history (query and response of each earlier exchange), instruction, chosen and rejected of two
+    transcripts that differ in the last reply. A transcript is read from the right: what stands
+    behind the last mark is the reply, before it the instruction."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+
+    def exchange(part: Column) -> Column:
+        """Query and response of the text behind a human mark; null without a reply."""
+        at = F.instr(part, model)
+        reply = F.substring(part, at + len(model), F.length(part))
+        return F.when(at > 0, F.struct(strip(F.substring(part, F.lit(1), at - 1)).alias("query"), strip(reply).alias("response")))
+
+    def whole(parts: Column) -> Column:
+        said = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), exchange)
+        last = F.element_at(said, -1)
+        earlier = F.filter(F.slice(said, F.lit(1), F.greatest(F.size(said) - 1, F.lit(0))), lambda x: x.isNotNull())
+        other = strip(F.element_at(F.split(rejected, rf"\Q{model}\E"), -1))
+        return F.struct(earlier.alias("history"), last["query"].alias("instruction"), last["response"].alias("chosen"), other.alias("rejected"))
+
+    return bind(F.split(chosen, rf"\Q{human}\E"), whole)
+
+
+#: Which kind of file an artifact's suffix asks for.
+ARTIFACTS = {"pkl": ("_tmp", "_response", "_processed"), "json": ("_rating", "_config", "_meta"), "csv": ("_acc", "_fine", "_metrics")}
+
+
+def artifact_path(path: str, suffix: str, kind: str | None = None, otherwise: str = "xlsx") -> str:
+    """Where an artifact of a results file lies: its suffix in front of the kind, which follows from
+    the suffix unless it is given."""
+    found = kind or next((k for k, names in ARTIFACTS.items() if suffix in names), otherwise)
+    stem, dot, old = path.rpartition(".")
+    return path.replace(f".{old}", f"{suffix}.{found}") if dot else path
+
+
 def image_aliases(rows: DataFrame, index: str, image: str, longest: int = 64) -> DataFrame:
     """Image cells of at most `longest` characters name another row's index and take its image."""
     short = (F.length(image) <= longest) & (F.col(image) != "nan")

@@ -307,3 +307,14 @@ def test_streams_over_many_batches(spark, tmp_path):
     assert sorted(r.batch for r in log) == [0, 1, 2, 3] and sum(r.rows for r in log) == 70
     counts = jobs.run_to_snapshot(stream().groupBy("s").agg(F.count("*").alias("n")), at("s"), at("cs"))
     assert {r.s: r.n for r in counts.collect()} == {"a": 42, "b": 28}
+
+
+def test_artifact_paths():
+    assert files.artifact_path("out/m_set.xlsx", "_rating") == "out/m_set_rating.json" and files.artifact_path("out/m_set.xlsx", "_tmp") == "out/m_set_tmp.pkl"
+    assert files.artifact_path("a.tsv", "_acc") == "a_acc.csv" and files.artifact_path("a.tsv", "_new") == "a_new.xlsx" and files.artifact_path("a.tsv", "_new", "json") == "a_new.json"
+
+
+@pytest.mark.parametrize("payload", ["no json", "[]", '{"other": 1}', '{"items": []}', None])
+def test_payloads_without_pairs(spark, payload):
+    (got,) = spark.createDataFrame([(payload,)], "p string").select(A.validated_pairs(F.col("p"), {1: "q"}).alias("v")).collect()
+    assert got.v is None
