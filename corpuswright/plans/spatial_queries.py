@@ -97,11 +97,19 @@ def greedy_box_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.greedy_matches(pairs.withColumn("iou", F.round("iou", 9)), ["l_image_id"], "l_det_id", "r_det_id", "iou")
 
 
-@register()
+@register(f"""WITH RECURSIVE {BOXES}, {_PAIRS}, c AS (SELECT l_image_id AS im, l_det_id AS l, r_det_id AS r, round(1 - iou, 9) AS cost FROM p), l AS (SELECT im, l, row_number() OVER (PARTITION BY im ORDER BY l) AS i FROM (SELECT DISTINCT im, l FROM c)),
+ e AS (SELECT im, i, l, r, cost FROM l JOIN c USING (im, l) UNION ALL SELECT im, i, l, NULL, 0 FROM l),
+ w AS (SELECT DISTINCT im, 0::BIGINT AS i, []::BIGINT[] AS used, 0::BIGINT AS n, 0::DOUBLE AS total, []::STRUCT(l BIGINT, r BIGINT, cost DOUBLE)[] AS chosen FROM l UNION ALL
+ SELECT w.im, e.i, CASE WHEN r IS NULL THEN used ELSE list_append(used, CAST(r AS BIGINT)) END, CASE WHEN r IS NULL THEN n ELSE n + 1 END, total + cost, CASE WHEN r IS NULL THEN chosen ELSE list_append(chosen, {{'l': CAST(l AS BIGINT), 'r': CAST(r AS BIGINT), 'cost': CAST(cost AS DOUBLE)}}) END
+ FROM w JOIN e ON e.im = w.im AND e.i = w.i + 1 WHERE r IS NULL OR NOT list_contains(used, r)),
+ b AS (SELECT im, chosen FROM w JOIN (SELECT im, max(i) AS m FROM l GROUP BY im) x USING (im) WHERE i = m QUALIFY row_number() OVER (PARTITION BY im ORDER BY n DESC, total) = 1),
+ k AS (SELECT im, unnest(chosen) AS k FROM b) SELECT im AS l_image_id, count(*) AS matched, count(DISTINCT k.r) AS targets, CAST(sum(CAST(round(k.cost * 1e9) AS BIGINT)) AS BIGINT) AS cost FROM k GROUP BY im""")
 def optimal_box_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and cost (in billionths) of the best matching of each image; which of equally good ones is open."""
     b = boxes(spark, sf_dir)
-    pairs = S.overlap_pairs(b.filter("label = 'R'"), b.filter("label <> 'R'"), ["image_id"]).select("l_image_id", "l_det_id", "r_det_id", (1 - F.col("iou")).alias("cost"))
-    return S.optimal_matches(pairs, ["l_image_id"], "l_det_id", "r_det_id", "cost")
+    pairs = S.overlap_pairs(b.filter("label = 'R'"), b.filter("label <> 'R'"), ["image_id"]).select("l_image_id", "l_det_id", "r_det_id", F.round(1 - F.col("iou"), 9).alias("cost"))
+    got = S.optimal_matches(pairs, ["l_image_id"], "l_det_id", "r_det_id", "cost")
+    return got.groupBy("l_image_id").agg(F.count("*").alias("matched"), F.countDistinct("r_det_id").alias("targets"), F.sum(F.round(F.col("cost") * 1e9).cast("long")).alias("cost"))
 
 
 @register(f"""WITH {INTERVALS}, b AS (SELECT user_id, s, e, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM intervals),
