@@ -107,7 +107,7 @@ def greedy_box_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 def optimal_box_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and cost (in billionths) of the best matching of each image; which of equally good ones is open."""
     b = boxes(spark, sf_dir)
-    pairs = S.overlap_pairs(b.filter("label = 'R'"), b.filter("label <> 'R'"), ["image_id"]).select("l_image_id", "l_det_id", "r_det_id", F.round(1 - F.col("iou"), 9).alias("cost"))
+    pairs = S.overlap_pairs(b.filter("label = 'R'"), b.filter("label <> 'R'"), ["image_id"]).select("l_image_id", "l_det_id", "r_det_id", F.round(1 - F.round("iou", 9), 9).alias("cost"))
     got = S.optimal_matches(pairs, ["l_image_id"], "l_det_id", "r_det_id", "cost")
     return got.groupBy("l_image_id").agg(F.count("*").alias("matched"), F.countDistinct("r_det_id").alias("targets"), F.sum(F.round(F.col("cost") * 1e9).cast("long")).alias("cost"))
 
