@@ -12,11 +12,12 @@ from corpuswright.plans.catalogue import register
 from corpuswright.plans.frames import BOXES, PRED, boxes, pred, table
 
 
-@register("""SELECT conv_id, CAST(count_if(role IN ('user', 'assistant')) AS INTEGER) AS n, arg_min(CASE role WHEN 'user' THEN 'human' ELSE 'gpt' END, turn) FILTER (role IN ('user', 'assistant')) AS first_from FROM conversations GROUP BY conv_id""")
+@register("""SELECT conv_id, coalesce(string_agg(CASE role WHEN 'user' THEN 'human' ELSE 'gpt' END || ': ' || text, chr(10) ORDER BY turn) FILTER (role IN ('user', 'assistant')), '') AS turns FROM conversations GROUP BY conv_id""")
 def role_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns under new names; roles without one are dropped."""
     t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(C.ordered_turns().alias("t"))
     new = R.rename_roles(F.col("t"), {"user": "human", "assistant": "gpt"})
-    return t.select("conv_id", F.size(new).alias("n"), F.get(new, F.lit(0))["from"].alias("first_from"))
+    return t.select("conv_id", F.array_join(F.transform(new, lambda x: F.concat_ws(": ", x["from"], x["value"])), "\n").alias("turns"))
 
 
 @register("SELECT doc_id, '[{\"from\":\"human\",\"value\":\"<image> ' || source || '\"},{\"from\":\"gpt\",\"value\":\"' || lang || '\"}]' AS conversations FROM documents JOIN labels USING (doc_id) WHERE quality = 1")

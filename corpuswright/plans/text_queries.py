@@ -196,8 +196,7 @@ def question_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pred(spark, sf_dir).select("doc_id", raw.alias("raw"), F.when(raw == "", "other").otherwise(raw).alias("category"))
 
 
-@register(f"""WITH {PRED} SELECT category, array_to_string(list_transform(list_distinct(list_concat(string_split(category, ','), CASE WHEN list_contains(['en','de'], lang) THEN ['germanic'] ELSE [] END)), lambda x: upper(x[1]) || x[2:]), ',') AS n FROM pred WHERE false
- UNION ALL SELECT DISTINCT category, upper(source[1]) || source[2:] || ',' || upper(lang[1]) || lang[2:] || CASE WHEN lang IN ('en','de') THEN ',Germanic' ELSE '' END FROM pred""")
+@register(f"""WITH {PRED} SELECT DISTINCT category, upper(source[1]) || source[2:] || ',' || upper(lang[1]) || lang[2:] || CASE WHEN lang IN ('en','de') THEN ',Germanic' ELSE '' END AS n FROM pred""")
 def category_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split("category", ",")
     more = F.when(F.arrays_overlap(parts, F.array(F.lit("en"), F.lit("de"))), F.array_append(parts, "germanic")).otherwise(parts)
