@@ -10,7 +10,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -93,8 +93,9 @@ def near_string(prediction: str, answer: str, least: float = 0.9) -> float:
     return sim if sim >= least else 0.0
 
 
-def tree_distance(a: tuple, b: tuple) -> int:
-    """Edit distance of ordered trees (label, (children...)), each edit costing one."""
+def tree_distance(a: tuple, b: tuple, edge: Callable = lambda x: 1, change: Callable = lambda x, y: int(x != y)) -> int:
+    """Edit distance of ordered trees (label, (children...)): adding or taking out a node costs
+    `edge` of its label, renaming it `change` of both; by default each edit costs one."""
 
     def flat(t, labels, left, leaf):
         first = None
@@ -115,15 +116,15 @@ def tree_distance(a: tuple, b: tuple) -> int:
             fi, fj = xa[i], xb[j]
             d = [[0] * (j - fj + 2) for _ in range(i - fi + 2)]
             for x in range(1, i - fi + 2):
-                d[x][0] = x
+                d[x][0] = d[x - 1][0] + edge(la[fi + x - 1])
             for y in range(1, j - fj + 2):
-                d[0][y] = y
+                d[0][y] = d[0][y - 1] + edge(lb[fj + y - 1])
             for x in range(fi, i + 1):
                 for y in range(fj, j + 1):
                     u, v = x - fi + 1, y - fj + 1
-                    edit = min(d[u - 1][v] + 1, d[u][v - 1] + 1)
+                    edit = min(d[u - 1][v] + edge(la[x]), d[u][v - 1] + edge(lb[y]))
                     if xa[x] == fi and xb[y] == fj:
-                        d[u][v] = min(edit, d[u - 1][v - 1] + (la[x] != lb[y]))
+                        d[u][v] = min(edit, d[u - 1][v - 1] + change(la[x], lb[y]))
                         dist[x][y] = d[u][v]
                     else:
                         d[u][v] = min(edit, d[xa[x] - fi][xb[y] - fj] + dist[x][y])
@@ -259,6 +260,62 @@ def near_string_score(prediction: Column | str, answer: Column | str) -> Column:
     return F.pandas_udf(_near_string_score_batch, "double")(prediction, answer)
 
 
+def edit_distance(a: str, b: str) -> int:
+    one = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(one[j] + 1, now[j - 1] + 1, one[j - 1] + (x != y)))
+        one = now
+    return one[-1]
+
+
+def record_tree(value: object, name: str = "root") -> tuple:
+    """The tree of a JSON record: fields in the order of their names' length and letters, entries of lists of
+    objects as parts, values as leaves. Labels are (leaf, text). What is empty is left out."""
+    if isinstance(value, dict):
+        fields = [record_tree(value[k], k) for k in sorted(value, key=lambda k: (len(k), k))]
+        return (False, name), tuple(t for t in fields if t[1])
+    if isinstance(value, list) and all(isinstance(x, dict) for x in value):
+        parts = [record_tree(x, "part") for x in value]
+        return (False, name), tuple(t for t in parts if t[1])
+    listed = value if isinstance(value, list) else [value]
+    texts = [str(x).strip() for x in listed if not isinstance(value, list) or isinstance(x, (str, int, float)) and not isinstance(x, bool)]
+    return (False, name), tuple(((True, t), ()) for t in texts if t)
+
+
+def _node_cost(label: tuple[bool, str]) -> int:
+    return len(label[1]) if label[0] else 1
+
+
+def _change_cost(a: tuple[bool, str], b: tuple[bool, str]) -> int:
+    if a[0] and b[0]:
+        return edit_distance(a[1], b[1])
+    if a[0] or b[0]:
+        return 1 + len(a[1] if a[0] else b[1])
+    return int(a[1] != b[1])
+
+
+def record_accuracy(prediction: str, answer: str) -> float:
+    """1 - the distance of both records' trees by that of an empty record from the answer, at least 0. A
+    prediction that is no JSON counts as empty; null for an empty answer."""
+    try:
+        said = json.loads(prediction)
+    except ValueError:
+        said = {}
+    p, a = (record_tree(x if isinstance(x, (dict, list)) else {}) for x in (said, json.loads(answer)))
+    whole = tree_distance(record_tree({}), a, _node_cost, _change_cost)
+    return max(0.0, 1 - tree_distance(p, a, _node_cost, _change_cost) / whole) if whole else math.nan
+
+
+def _record_accuracy_batch(predictions: pd.Series, answers: pd.Series) -> pd.Series:
+    return pd.Series([record_accuracy(p or "{}", a or "{}") for p, a in zip(predictions, answers)])
+
+
+def record_score(prediction: Column | str, answer: Column | str) -> Column:
+    return F.nanvl(F.pandas_udf(_record_accuracy_batch, "double")(prediction, answer), F.lit(None))
+
+
 def _tree_score_batch(predictions: pd.Series, answers: pd.Series) -> pd.Series:
     return pd.Series([tree_similarity(p or "", a or "") for p, a in zip(predictions, answers)])
 

@@ -112,6 +112,16 @@ def tree_similarity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", M.tree_score(*pair).alias("score"), M.structure_score(*pair).alias("structure"))
 
 
+@register("""WITH s AS (SELECT p_brand, greatest(0, 1 - (levenshtein(p_name, p_type) + levenshtein(CAST(p_size AS VARCHAR), CAST(p_size + p_partkey % 2 AS VARCHAR))) / CAST(2 + length(p_type) + length(CAST(p_size + p_partkey % 2 AS VARCHAR)) AS DOUBLE)) AS s FROM part)
+ SELECT p_brand, sum(s) / (count(*) + 1e-6) AS accuracy FROM s GROUP BY p_brand""")
+def record_tree_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of two fields against ones with another name and size, averaged by brand."""
+    record = lambda name, size: F.to_json(F.struct(size.alias("count"), name.alias("menu")))
+    size = F.col("p_size")
+    s = table(spark, sf_dir, "part").select("p_brand", M.record_score(record(F.col("p_name"), size), record(F.col("p_type"), size + F.col("p_partkey") % 2)).alias("s"))
+    return s.groupBy("p_brand").agg((F.sum("s") / (F.count("*") + 1e-6)).alias("accuracy"))
+
+
 @register(f"""WITH {REPLY} SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) <= 6 AS few_words, starts_with(text, 'The') AS begins, ends_with(text, '.') AS ends,
  len(regexp_extract_all(text, '[.!?](\\s|$)')) >= 1 AS has_sentence, NOT regexp_matches(text, '[0-9]') AS no_number FROM reply""")
 def instruction_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:

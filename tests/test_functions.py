@@ -318,3 +318,13 @@ def test_artifact_paths():
 def test_payloads_without_pairs(spark, payload):
     (got,) = spark.createDataFrame([(payload,)], "p string").select(A.validated_pairs(F.col("p"), {1: "q"}).alias("v")).collect()
     assert got.v is None
+
+
+def test_record_accuracy():
+    assert M.record_accuracy('{"a": 1, "b": ["x", "y"]}', '{"b": ["x", "y"], "a": "1"}') == 1.0
+    assert M.record_accuracy("no json", '{"a": "xy"}') == 0.0 and M.record_accuracy('{"a": "xz"}', '{"a": "xy"}') == pytest.approx(1 - 1 / 3)
+    menu = '{"menu": [{"name": "cake", "n": 2}, {"name": "juice", "n": 1}]}'
+    assert M.record_accuracy(menu, menu) == 1.0 and 0 < M.record_accuracy('{"menu": [{"name": "cake", "n": 2}]}', menu) < 1
+    assert math.isnan(M.record_accuracy("{}", "{}"))
+    plain = lambda x, y: M.tree_distance(x, y)
+    assert plain(("r", (("a", ()), ("b", ()))), ("r", (("a", ()),))) == 1 and plain(("r", ()), ("s", (("a", ()),))) == 2
