@@ -207,6 +207,38 @@ def numbers_have_decimals(text: Column, n: int) -> Column:
     return F.forall(F.regexp_extract_all(text, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), lambda x: F.length(F.regexp_extract(x, r"\.(\d+)$", 1)) == n)
 
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\b\w+\b"))
+
+
+def times_said(text: Column, phrases: Sequence[str]) -> Column:
+    """How often phrases occur as whole words, cases alike and without marks of bold type. Words are taken
+    as they stand: no other forms of them count."""
+    bare = F.lower(F.replace(text, F.lit("**"), F.lit("")))
+    return sum((F.regexp_count(bare, F.lit(rf"(?<!\w)\Q{p.lower()}\E(?!\w)")) for p in phrases), F.lit(0))
+
+
+def sentences_with(text: Column, phrases: Sequence[str]) -> Column:
+    """Numbers from 1 of the sentences that hold one of the phrases."""
+    parts = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+    return F.array_compact(F.transform(parts, lambda s, i: F.when(times_said(s, phrases) > 0, i + 1)))
+
+
+def acrostic(text: Column, word: str, every_word: bool = False) -> Column:
+    """Whether the lines begin with the letters of a word, one a line (a blank is an empty line); with
+    `every_word` all words of a line begin with its letter."""
+    bare = F.lower(A.strip(F.replace(text, F.lit("**"), F.lit(""))))
+    letters = F.array(*[F.lit(c) for c in word.lower()])
+
+    def fits(line: Column, letter: Column) -> Column:
+        own = F.trim(line)
+        starts = F.forall(F.split(own, " "), lambda w: F.startswith(w, letter)) if every_word else F.startswith(own, letter)
+        return F.when(letter == " ", own == "").otherwise((own != "") & starts)
+
+    lines = F.split(bare, "\n")
+    return (F.size(lines) == len(word)) & F.forall(F.zip_with(lines, letters, lambda x, c: F.coalesce(fits(x, c), F.lit(False))), lambda ok: ok)
+
+
 #: Constraint checks by name: (text, argument) -> condition.
 CONSTRAINTS = {
     "begins_with": lambda t, x: F.startswith(t, F.lit(x)),
@@ -217,6 +249,15 @@ CONSTRAINTS = {
     "sentences": lambda t, x: F.regexp_count(t, F.lit(r"[.!?](\s|$)")) == x,
     "contains": lambda t, x: F.contains(F.lower(t), F.lit(str(x).lower())),
     "decimals": numbers_have_decimals,
+    "fewer_words": lambda t, x: word_count(t) < x,
+    "more_words": lambda t, x: word_count(t) > x,
+    "contains_any": lambda t, x: times_said(t, x) > 0,
+    "contains_times": lambda t, x: times_said(t, x[0]) == x[1],
+    "contains_one_group": lambda t, x: sum(((times_said(t, group) > 0).cast("int") for group in x), F.lit(0)) == 1,
+    "in_sentence": lambda t, x: F.array_contains(sentences_with(t, x[0]), x[1]),
+    "only_in_sentence": lambda t, x: (F.size(sentences_with(t, x[0])) == 1) & F.array_contains(sentences_with(t, x[0]), x[1]),
+    "acrostic": acrostic,
+    "alliterating_acrostic": lambda t, x: acrostic(t, x, every_word=True),
 }
 
 #: Text metrics by name: (prediction, answer) -> score.

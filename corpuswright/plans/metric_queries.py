@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuswright.functions import answers as A
 from corpuswright.functions import metrics as M
+from corpuswright.functions import scoring as S
 from corpuswright.operators import judge as J
 from corpuswright.plans.catalogue import register
 from corpuswright.plans.frames import PRED, pred, table
@@ -122,6 +123,20 @@ def record_tree_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("p_brand").agg((F.sum("s") / (F.count("*") + 1e-6)).alias("accuracy"))
 
 
+@register("""SELECT o_orderkey, k < 2 AS fewer, k <> 1 AS any_of, k = 2 AS twice, k < 2 AS one_group, k = 2 AS second, k = 1 AS only_first, k = 3 AS acrostic, o_orderkey % 8 = 3 AS alliterating FROM (SELECT o_orderkey, o_orderkey % 4 AS k FROM orders)""")
+def constraint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constraints on phrases, sentences and lines, on four kinds of text."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 4
+    lines = F.when(F.col("o_orderkey") % 8 == 3, "cats creep\nall\ntwo the table").otherwise("cats and\nall\ntwo the table")
+    text = F.when(k == 0, "The **cat** sleeps.").when(k == 1, "A dog barks! Concatenation.").when(k == 2, "The cat sits. The Cat and dog.").otherwise(lines)
+    c = lambda name, x: S.CONSTRAINTS[name](text, x)
+    return o.select(
+        "o_orderkey", c("fewer_words", 6).alias("fewer"), c("contains_any", ["cat", "cats"]).alias("any_of"), c("contains_times", (["cat"], 2)).alias("twice"), c("contains_one_group", [["cat"], ["dog"]]).alias("one_group"),
+        c("in_sentence", (["cat"], 2)).alias("second"), c("only_in_sentence", (["dog"], 1)).alias("only_first"), c("acrostic", "cat").alias("acrostic"), c("alliterating_acrostic", "cat").alias("alliterating"),
+    )
+
+
 @register(f"""WITH {REPLY} SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) <= 6 AS few_words, starts_with(text, 'The') AS begins, ends_with(text, '.') AS ends,
  len(regexp_extract_all(text, '[.!?](\\s|$)')) >= 1 AS has_sentence, NOT regexp_matches(text, '[0-9]') AS no_number FROM reply""")
 def instruction_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,3 +136,14 @@ def test_tagged_calls_and_templates(spark):
     assert one(spark, C.render_with("chatml", turns, lit("sys"))) == "<|im_start|>system\nsys<|im_end|>\n<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
     with pytest.raises(ValueError):
         C.register_template("plain", {})
+
+
+@pytest.mark.parametrize("text,word,plain,every", [("Apples all\nBees buzz", "ab", True, True), ("apples do\nbees", "ab", True, False), ("apples", "ab", False, False), ("a\n\nb", "a b", True, True), ("a\nx\nb", "a b", False, False), ("**A**ll\nb", "ab", True, True)])
+def test_acrostic(spark, text, word, plain, every):
+    assert one(spark, S.acrostic(lit(text), word)) is plain and one(spark, S.acrostic(lit(text), word, every_word=True)) is every
+
+
+def test_phrase_constraints(spark):
+    text = lit("The cat sits. A concatenated dog (and a Cat) runs! No more?")
+    for name, x, want in (("contains_any", ["bird", "dog"], True), ("contains_times", (["cat"], 2), True), ("contains_one_group", [["cat", "dog"], ["bird"]], True), ("contains_one_group", [["cat"], ["dog"]], False), ("in_sentence", (["cat"], 2), True), ("only_in_sentence", (["dog"], 2), True), ("only_in_sentence", (["cat"], 2), False), ("fewer_words", 13, True), ("more_words", 12, False)):
+        assert one(spark, S.CONSTRAINTS[name](text, x)) is want, name
