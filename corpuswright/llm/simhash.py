@@ -274,7 +274,11 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", leas
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["h", "words"])
 
     sets = store(map_slices(texts.select("h", "text"), "text", words, "h long, words binary"), "sets")
-    found = store(_similar(members, sets, least), "similar")
+    # Near copies share most of their keys: of keys with the same texts one is compared.
+    few = members.filter(F.col("count") <= part).groupBy("key").agg(F.sort_array(F.collect_list("h")).alias("ids"))
+    single = few.groupBy("ids").agg(F.min("key").alias("key")).select("key")
+    once = store(members.join(single, "key", "left_semi").union(members.filter(F.col("count") > part)), "once")
+    found = store(_similar(once, sets, least), "similar")
     again = members.filter(F.col("count") > part).join(found.filter("key IS NOT NULL").select("key", "h"), ["key", "h"]).withColumn("part", F.lit(0).cast("long"))
     edges = store(found.union(_similar(again, sets, least)).filter("parent IS NOT NULL").select("parent", "child").distinct(), "similar-edges")
     return edges, paths
