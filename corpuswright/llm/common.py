@@ -100,10 +100,13 @@ def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def join_by_count(big: DataFrame, small: DataFrame, key: str, count: str, how: str = "left", hot: int = 1_000_000) -> DataFrame:
+def join_by_count(big: DataFrame, small: DataFrame, key: str, count: str, how: str = "left", hot: int = 1_000_000, most: int | None = None) -> DataFrame:
     """Joins big with a `small` that has one row for each key and the `count` of big's rows with it,
     where a third of big may share a key. Keys of over `hot` rows, so at most rows / hot of them, are
-    broadcast; the rest meet by a shuffle in which no key is hot. Null keys meet nothing."""
+    broadcast; the rest meet by a shuffle in which no key is hot. Null keys meet nothing. Where `most`, a
+    known bound of the counts, says that no key is hot, the shuffle is all."""
+    if most is not None and most <= hot:
+        return big.join(small, key, how)
     often = small.filter(F.col(count) > hot)
     inside = big.join(F.broadcast(often), key)
     rest = big.join(F.broadcast(often.select(key)), key, "left_anti").join(small.filter(F.col(count) <= hot), key, how)

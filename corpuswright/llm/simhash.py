@@ -284,11 +284,11 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", leas
     return edges, paths
 
 
-def _least(edges: DataFrame, by: str, other: str) -> DataFrame:
+def _least(edges: DataFrame, by: str, other: str, most: int) -> DataFrame:
     """edges with `least`, the smallest neighbour by `by`. One node may hold most edges: it is
-    joined back by its count."""
+    joined back by its count, which is at most `most`."""
     least = edges.groupBy(by).agg(F.min(other).alias("least"), F.count("*").alias("degree"))
-    return join_by_count(edges, least, by, "degree", "inner").drop("degree")
+    return join_by_count(edges, least, by, "degree", "inner", most=most).drop("degree")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> tuple[DataFrame, list[str]]:
@@ -303,8 +303,8 @@ def components(edges: DataFrame, rounds: int = 40) -> tuple[DataFrame, list[str]
             return now, paths
         mark = got
         both = now.union(now.select(F.col("child").alias("parent"), F.col("parent").alias("child"))).toDF("u", "v")
-        large = _least(both, "u", "v").filter("v > u").select(F.least("least", "u").alias("parent"), F.col("v").alias("child")).distinct()
-        least = _least(large, "child", "parent")
+        large = _least(both, "u", "v", 2 * got[0]).filter("v > u").select(F.least("least", "u").alias("parent"), F.col("v").alias("child")).distinct()
+        least = _least(large, "child", "parent", 2 * got[0])
         small = least.select(F.col("least").alias("parent"), "child").union(least.select(F.col("least").alias("parent"), F.col("parent").alias("child"))).filter("parent < child").distinct()
         now, path = materialise(small, "edges")
         paths.append(path)
@@ -331,15 +331,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     named = named.withColumn("root", F.coalesce("root", "fp"))
     # Roots hold an arbitrary number of members, fingerprints one of copies: both are joined by count.
     roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
-    result, _ = materialise(join_by_count(named.select("fp", "root", "copies"), roots, "root", "members", "inner"), "components")
+    result, _ = materialise(join_by_count(named.select("fp", "root", "copies"), roots, "root", "members", "inner", most=distinct.count()), "components")
     remove(spark, *old, *more)
     return rows, result
 
 
+def _with_names(rows: DataFrame, named: DataFrame) -> DataFrame:
+    return join_by_count(rows, named, "fp", "copies", "inner", most=named.agg(F.coalesce(F.max("copies"), F.lit(0))).first()[0])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
     rows, named = groups(docs, id_col, text_col, hot)
-    return join_by_count(rows, named, "fp", "copies", "inner").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _with_names(rows, named).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, similar: bool = False) -> DataFrame:
@@ -347,7 +351,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an id, that of the smallest text hash; of rows equal in both, any one). All columns stay
     as they are."""
     rows, named = groups(docs, id_col, text_col, hot, similar)
-    keep = join_by_count(rows, named, "fp", "copies", "inner").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = _with_names(rows, named).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = keep.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
     names = fresh(docs.columns, "__id", "__null", "__hash")
     keys = lambda i, h: [x.alias(n) for x, n in zip((F.coalesce(i, F.lit(0)), i.isNull(), h), names)]
