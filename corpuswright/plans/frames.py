@@ -34,10 +34,11 @@ BOXES = """boxes AS (SELECT l_orderkey AS image_id, row_number() OVER (PARTITION
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    order = Window.partitionBy("image_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     x, y, q = F.col("l_partkey") % 100, F.col("l_suppkey") % 100, F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("image_id"), F.row_number().over(order).alias("det_id"), x.cast("double").alias("x1"), y.cast("double").alias("y1"),
+    # Renamed first: what then meets by image_id is not shuffled again.
+    return table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "image_id").select(
+        "image_id", F.row_number().over(order).alias("det_id"), x.cast("double").alias("x1"), y.cast("double").alias("y1"),
         (x + q).alias("x2"), (y + q * 2).alias("y2"), (F.col("l_discount") * 10).alias("score"), F.col("l_returnflag").alias("label"),
     )
 
