@@ -15,12 +15,13 @@ large the corpus is, and neighbours are found by probing these bits.
 Near copies whose fingerprints lie further apart are found by `similar_links`: texts whose
 sets of five-word shingles have a Jaccard similarity of `SIMILAR` or more. Texts that share
 one of `BANDS` keys, each made of `ROWS` minima of hashes, are compared by their whole sets.
-A pair at exactly 0.8 shares no key once in 38,000 times, closer ones less often.
+A pair at exactly 0.8 shares no key once in 38,000 times, closer ones less often. Keys of many
+texts are first compared in parts; `_open_links` then finds every link that the parts left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -248,12 +249,115 @@ def _similar(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return small_batches(dealt.select("key", "part", "first", "h", "fp", "words")).mapInArrow(run, "parent long, child long, key long, h long")
 
 
+def crossing_links(roots: list[int], sets: list[np.ndarray], sides: list[bool], least: float = SIMILAR) -> list[tuple[int, int]]:
+    """Pairs (positions) of sets of a Jaccard similarity of `least` or more that connect whatever such
+    pairs connect, given that equal roots are connected. If both sides occur, only pairs across count."""
+    up = {r: r for r in roots}
+
+    def find(r: int) -> int:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    order = sorted(range(len(sets)), key=lambda x: len(sets[x]))
+    sizes = np.array([len(sets[x]) for x in order])
+    firsts = np.cumsum(sizes) - sizes
+    values, codes = np.unique(np.concatenate([sets[x] for x in order]), return_inverse=True)
+    mark, across, edges, trees = np.zeros(len(values), bool), len(set(sides)) > 1, [], len(up)
+    ends = np.searchsorted(sizes, sizes / least + 1e-6, "right")
+    for at, x in enumerate(order):
+        lo, hi = at + 1, int(ends[at])
+        if trees == 1:
+            break
+        if hi <= lo:
+            continue
+        own = codes[firsts[at] : firsts[at] + sizes[at]]
+        mark[own] = True
+        stop = firsts[hi - 1] + sizes[hi - 1]
+        both = np.add.reduceat(mark[codes[firsts[lo] : stop]].astype(np.int64), firsts[lo:hi] - firsts[lo])
+        mark[own] = False
+        for y in (np.flatnonzero(both / (sizes[lo:hi] + sizes[at] - both) >= least) + lo).tolist():
+            y = order[y]
+            a, b = find(roots[x]), find(roots[y])
+            if a != b and not (across and sides[x] == sides[y]):
+                up[a] = b
+                trees -= 1
+                edges.append((x, y))
+    return edges
+
+
+def _open_links(hot: DataFrame, near: DataFrame, sets: DataFrame, least: float, part: int, store: Callable[[DataFrame, str], DataFrame], paths: list[str]) -> DataFrame | None:
+    """parent, child: with the edges `near`, what connects all texts of a similarity of `least` or more among those
+    that share a key of `hot` (key, h, fp). Exact, whatever the size of a key; None where `near` is all.
+
+    Keys whose texts are connected need nothing. Of the others, two similar texts share one of their
+    rarest shingles, as many as they may differ in and one more. Texts that share such a shingle are compared:
+    over `part` of them in cells of about `part`, each cell with each, unless both lie in one component."""
+    named, old = components(near)
+    paths += old
+    roots = named.select(F.col("child").alias("fp"), F.col("parent").alias("root"))
+    placed = store(hot.select("key", "h", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+    mixed = lambda t, *by: t.groupBy(*by).agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    texts = store(placed.join(mixed(placed, "key").select("key"), "key", "left_semi").select("h", "fp", "root").distinct(), "open")
+    if not texts.limit(1).count():
+        return None
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, words in zip(batch.column(0), batch.column(1)):
+                own = np.frombuffer(words.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), h.as_py())), pa.array(own)], ["h", "g"])
+
+    grams = store(small_batches(texts.join(sets, "h").select("h", "words")).mapInArrow(explode, "h long, g long"), "grams")
+    ranked = join_by_count(grams, grams.groupBy("g").count(), "g", "count", "inner")
+    own = ranked.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("count", "g"))).alias("all"))
+    take = F.size("all") - F.ceil(F.size("all") * least - 1e-6).cast("int") + 1
+    rare = own.select("h", F.explode(F.slice("all", F.lit(1), take)).alias("x")).select("h", F.col("x.g").alias("g"))
+    rare = store(rare.join(texts, "h"), "rare")
+
+    buckets = store(mixed(rare, "g").select("g", "n"), "rare-buckets")
+    met = rare.join(buckets, "g")
+    few = met.filter(F.col("n") <= part).groupBy("g").agg(F.sort_array(F.collect_list("h")).alias("ids"))
+    few = met.join(few.groupBy("ids").agg(F.min("g").alias("g")).select("g"), "g", "left_semi").withColumn("cell", F.lit(0).cast("long"))
+    many = met.filter(F.col("n") > part)
+    of_root = many.groupBy("g", "root").agg(F.count("*").alias("m"))
+    cut = lambda by, n: F.pmod(F.xxhash64(by), F.floor((F.col(n) - 1) / part) + 1)
+    many = many.join(of_root, ["g", "root"]).withColumn("cell", cut("root", "n") * F.lit(1 << 32) + cut("h", "m")).drop("m")
+    cells = store(few.unionByName(many).select("g", "cell", "h", "fp", "root"), "cells")
+    kinds = cells.groupBy("g", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    a, b = (kinds.select("g", *[F.col(c).alias(f"{x}_{c}") for c in ("cell", "lo", "hi")]) for x in "ab")
+    blocks = store(a.join(b, "g").filter((F.col("a_cell") <= F.col("b_cell")) & (F.least("a_lo", "b_lo") < F.greatest("a_hi", "b_hi"))).select("g", "a_cell", "b_cell"), "blocks")
+    sides = blocks.withColumn("cell", F.explode(F.array_distinct(F.array("a_cell", "b_cell"))))
+    rows = cells.join(sides, ["g", "cell"]).join(sets, "h").select("g", "a_cell", "b_cell", (F.col("cell") == F.col("a_cell")).alias("side"), "fp", "root", "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(group):
+            fps, roots, sides, words = zip(*group)
+            linked = sorted({(min(fps[x], fps[y]), max(fps[x], fps[y])) for x, y in crossing_links(roots, words, sides, least)})
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in linked], pa.int64()) for i in (0, 1)], ["parent", "child"])
+
+        now, group = None, []
+        for batch in batches:
+            for g, a, b, side, fp, root, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, a, b) != now:
+                    if group:
+                        yield close(group)
+                    now, group = (g, a, b), []
+                group.append((fp, root, side, np.frombuffer(words, np.uint64)))
+        if group:
+            yield close(group)
+
+    by = ["g", "a_cell", "b_cell"]
+    return small_batches(rows.repartition(*by).sortWithinPartitions(*by)).mapInArrow(run, "parent long, child long").distinct()
+
+
 def similar_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", least: float = SIMILAR, part: int = PART) -> tuple[DataFrame, list[str]]:
-    """(edges of fingerprints parent < child, scratch paths): of two texts of a similarity of
-    `least` or more that share a key, at least one has a path to a text of a smaller id. `rows` is the stored table of fingerprints with text_hash and bands.
+    """(edges of fingerprints parent < child, scratch paths): they connect whatever links of texts that share a
+    key and have a similarity of `least` or more connect. `rows` is the stored table of fingerprints with text_hash and bands.
 
-    Copies of a text count once. Keys of over `part` texts are dealt to several groups, whose
-    trees then meet by their smallest ids, so no task compares a large group as one.
+    Copies of a text count once. Keys of over `part` texts are dealt to several groups, so no task compares
+    a large group as one; the smallest ids of the groups' trees meet then, dealt likewise, which connects
+    dense groups, and `_open_links` finds the links that are left.
     """
     paths = []
 
@@ -279,8 +383,15 @@ def similar_links(docs: DataFrame, rows: DataFrame, text_col: str = "text", leas
     single = few.groupBy("ids").agg(F.min("key").alias("key")).select("key")
     once = store(members.join(single, "key", "left_semi").union(members.filter(F.col("count") > part)), "once")
     found = store(_similar(once, sets, least), "similar")
-    again = members.filter(F.col("count") > part).join(found.filter("key IS NOT NULL").select("key", "h"), ["key", "h"]).withColumn("part", F.lit(0).cast("long"))
+    hot = members.filter(F.col("count") > part).drop("part")
+    trees = found.filter("key IS NOT NULL").select("key", "h")
+    counts = trees.groupBy("key").count()
+    again = hot.drop("count").join(trees, ["key", "h"]).join(counts, "key").withColumn("part", dealt)
     edges = store(found.union(_similar(again, sets, least)).filter("parent IS NOT NULL").select("parent", "child").distinct(), "similar-edges")
+    if hot.limit(1).count():
+        rest = _open_links(hot, edges, sets, least, part, store, paths)
+        if rest is not None:
+            edges = store(edges.union(rest).distinct(), "all-similar-edges")
     return edges, paths
 
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpuswright.llm import queries, simhash
 
@@ -161,6 +162,41 @@ def test_similar_texts_keep_one(spark, part, monkeypatch):
     assert [p for p in far if before.issuperset(p)]
 
 
+@pytest.mark.parametrize("part", [simhash.PART, 9, 3])
+def test_no_link_of_a_large_key_is_lost(spark, part):
+    """All texts share one key: chains whose links join no smallest ids, a dense group and texts that are
+    like no other. Components are those of all pairs."""
+    rng = random.Random(8)
+    long = [[f"c{n}w{i}" for i in range(400)] for n in range(3)]
+    texts = [" ".join(words[at : at + 120]) for words in long for at in range(0, 120, 5)]
+    texts += [" ".join(f"u{rng.randrange(9000)}" for _ in range(100)) for _ in range(20)]
+    dense = [f"d{i}" for i in range(120)]
+    for _ in range(20):
+        at = rng.randrange(120)
+        texts.append(" ".join([*dense[:at], f"x{rng.randrange(99)}", *dense[at + 1 :]]))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").localCheckpoint()
+    rows = simhash.fingerprints(docs, keep_hash=True).withColumn("bands", F.array(F.lit(7).cast("long"))).localCheckpoint()
+    edges, _ = simhash.similar_links(docs, rows, part=part)
+    fps = {r.doc_id: r.fp for r in rows.collect()}
+    assert len(set(fps.values())) == len(texts)
+    sets = five_word_sets(docs.collect())
+    near = [(fps[i], fps[j]) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+    found = [tuple(e) for e in edges.collect()]
+    assert {tuple(sorted(e)) for e in near} >= set(found)
+
+    def names(pairs):
+        up = {f: f for f in fps.values()}
+        for _ in up:
+            before = dict(up)
+            for a, b in pairs:
+                up[a] = up[b] = min(up[a], up[b])
+            if up == before:
+                return up
+
+    assert names(found) == names(near)
+
+
 def test_pipeline_links_similar_texts(spark, odd, empty):
     import corpus_pipeline
 
