@@ -168,7 +168,7 @@ def test_no_link_of_a_large_key_is_lost(spark, part):
     like no other. Components are those of all pairs."""
     rng = random.Random(8)
     long = [[f"c{n}w{i}" for i in range(400)] for n in range(3)]
-    texts = [" ".join(words[at : at + 120]) for words in long for at in range(0, 120, 5)]
+    texts = [" ".join(words[at : at + 120]) for words in long for at in range(0, 240, 10)]
     texts += [" ".join(f"u{rng.randrange(9000)}" for _ in range(100)) for _ in range(20)]
     dense = [f"d{i}" for i in range(120)]
     for _ in range(20):
